@@ -94,27 +94,39 @@ def drop_phrases(tokens: Column, phrases: Sequence[str]) -> Column:
     """Remove phrases left to right, the longest one first at each place."""
     if not phrases:
         return tokens
-    body = "|".join(re.escape(p) for p in phrases)
-    joined = F.regexp_replace(F.array_join(tokens, " "), rf"(?<![^ ])(?:{body})(?![^ ])", "")
-    return F.filter(F.split(joined, " "), lambda t: t != "")
-
+    # With two blanks between tokens every phrase has blanks of its own at both ends.
+    body = "|".join("  ".join(re.escape(w) for w in p.split()) for p in phrases)
+    padded = F.concat(F.lit(" "), F.array_join(tokens, "  "), F.lit(" "))
+    return F.filter(F.split(F.regexp_replace(padded, f" (?:{body}) ", ""), " "), lambda t: t != "")
+
+
+def windows(tokens: Column, max_n: int = 3) -> Column:
+    """Each token with the ``max_n - 1`` after it, null past the end: an array to explode."""
+    size = F.size(tokens)
+    later = [F.slice(tokens, k + 1, F.greatest(size - k, F.lit(0))) for k in range(1, max_n)]
+    named = [c.alias(f"t{k}") for k, c in enumerate([tokens, *later])]
+    return F.arrays_zip(*named)
+
+
+def window_terms(window: Column, max_n: int = 3) -> Column:
+    """``array<struct<term, n>>`` of the n-grams that open at a window; null terms run past the end."""
+    return F.array(
+        *[
+            F.struct(
+                F.concat(*[p for k in range(n) for p in ([F.lit(" ")] if k else []) + [window[f"t{k}"]]]).alias("term"),
+                F.lit(n).alias("n"),
+            )
+            for n in range(1, max_n + 1)
+        ]
+    )
 
-def ngrams(tokens: Column, max_n: int = 3) -> Column:
-    """``array<struct<term, n, i>>`` of all runs of 1..max_n tokens, by n then place."""
 
-    def of_size(toks: Column, n: int) -> Column:
-        last = F.size(toks) - n
-        runs = F.transform(
-            F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-            lambda i: F.struct(
-                F.array_join(F.slice(toks, i + 1, n), " ").alias("term"),
-                F.lit(n).alias("n"),
-                i.alias("i"),
-            ),
-        )
-        return F.when(last >= 0, runs).otherwise(F.slice(runs, 1, 0))
+def when_filled(row: Column, tokens: str) -> Column:
+    """``row`` in an array to explode, or no row when its token list is empty.
 
-    return _bind(tokens, lambda toks: F.concat(*[of_size(toks, n) for n in range(1, max_n + 1)]))
+    A filter on the computed list would be pushed down and compute it twice.
+    """
+    return F.filter(F.array(row), lambda r: F.size(r[tokens]) > 0)
 
 
 def _word_count(c: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions import text as X
-from sheaf.session import materialise
+from sheaf.session import materialise, spread
 
 # Word lists up to this length become a hash set inside the expression.
 INLINE_WORDS = 5000
@@ -25,9 +25,11 @@ def tokenise(docs: DataFrame, text: str = "job_description", lexicon: DataFrame
     replaces tokens by lemmas and keeps nouns only as keywords; words it does
     not know stay as they are and count as keywords.
     """
-    rows = usable(docs, text).select("doc_pos", X.token_array(F.col(text)).alias("tokens"))
+    texts = usable(spread(docs.select("doc_pos", text), "doc_pos"), text)
+    row = F.struct(X.token_array(F.col(text)).alias("tokens"))
+    rows = texts.select("doc_pos", F.explode(X.when_filled(row, "tokens")).alias("r")).select("doc_pos", "r.tokens")
     if lexicon is None:
-        return rows.where(F.size("tokens") > 0).withColumn("keywords", F.col("tokens"))
+        return rows.withColumn("keywords", F.col("tokens"))
     words = rows.select("doc_pos", F.posexplode("tokens").alias("i", "token"))
     known = words.join(lexicon.select("token", "lemma", "is_noun"), "token", "left").select(
         "doc_pos",
@@ -50,8 +52,12 @@ def drop_explicit(prepared: DataFrame, stopwords: Iterable[str]) -> DataFrame:
     singles, phrases = X.split_stopwords(stopwords)
     tokens = X.drop_phrases(X.drop_words(F.col("tokens"), singles), phrases)
     keywords = X.drop_words(F.col("keywords"), singles)
-    out = prepared.select("doc_pos", tokens.alias("tokens"), keywords.alias("keywords"))
-    return out.where(F.size("tokens") > 0)
+    return _filled(prepared, tokens, keywords)
+
+
+def _filled(prepared: DataFrame, tokens: Column, keywords: Column) -> DataFrame:
+    row = F.struct(tokens.alias("tokens"), keywords.alias("keywords"))
+    return prepared.select("doc_pos", F.explode(X.when_filled(row, "tokens")).alias("r")).select("doc_pos", "r.*")
 
 
 def _limit(n: Column, ratio: float | None) -> Column:
@@ -82,12 +88,7 @@ def drop_terms(prepared: DataFrame, terms: DataFrame) -> DataFrame:
     """
     head = [r.term for r in terms.select("term").take(INLINE_WORDS + 1)]
     if len(head) <= INLINE_WORDS:
-        out = prepared.select(
-            "doc_pos",
-            X.drop_words(F.col("tokens"), head).alias("tokens"),
-            X.drop_words(F.col("keywords"), head).alias("keywords"),
-        )
-        return out.where(F.size("tokens") > 0)
+        return _filled(prepared, X.drop_words(F.col("tokens"), head), X.drop_words(F.col("keywords"), head))
 
     def cleaned(name: str) -> DataFrame:
         words = prepared.select("doc_pos", F.posexplode(name).alias("i", "term"))
@@ -120,11 +121,13 @@ def doc_terms(prepared: DataFrame, column: str = "tokens", max_n: int = 3, carry
     Rows are spread by document before the n-grams are made, so the count per
     document needs no further shuffle.
     """
-    grams = (
-        prepared.repartition("doc_pos")
-        .select("doc_pos", *carry, F.explode(X.ngrams(F.col(column), max_n)).alias("g"))
-        .select("doc_pos", *carry, "g.term", "g.n", "g.i")
-    )
-    return grams.groupBy("doc_pos", *carry, "term", "n").agg(
-        F.count(F.lit(1)).alias("tf"), F.min("i").alias("i")
-    )
+    return grams(prepared.repartition("doc_pos"), column, max_n, ("doc_pos", *carry)).groupBy(
+        "doc_pos", *carry, "term", "n"
+    ).agg(F.count(F.lit(1)).alias("tf"), F.min("i").alias("i"))
+
+
+def grams(rows: DataFrame, column: str, max_n: int, keys: tuple[str, ...]) -> DataFrame:
+    """``(keys.., term, n, i)``: one row per n-gram occurrence of a token list."""
+    at = rows.select(*keys, F.posexplode(X.windows(F.col(column), max_n)).alias("i", "w"))
+    terms = at.select(*keys, "i", F.inline(X.window_terms(F.col("w"), max_n)))
+    return terms.where("term is not null").select(*keys, "term", "n", "i")

@@ -17,7 +17,7 @@ from sheaf.functions.ranking import numbered
 from sheaf.operators import backfill, cards, cuts, linkage, prepare, reassign, report, resume, store, summary, tiles
 from sheaf.operators import tracker, vectors
 from sheaf.plans import pipeline
-from sheaf.session import materialise, scratch_dir
+from sheaf.session import materialise, scratch_dir, spread
 from sheaf.sources import samples as S
 from sheaf.sources.pages import raw_cards
 from sheaf.streaming import status
@@ -66,6 +66,11 @@ def prepared(spark: SparkSession, folder: str) -> DataFrame:
     return prepare.drop_explicit(prepare.tokenise(S.documents(spark, folder)), STOPWORDS)
 
 
+def saved(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, written once: for queries that read it several times."""
+    return materialise(prepared(spark, folder), "tokens")
+
+
 # Keywords
 
 
@@ -111,12 +116,12 @@ def stopword_filter(spark, folder):
 
 @query
 def dynamic_stopwords(spark, folder):
-    return prepare.dynamic_stopwords(prepared(spark, folder), DYNAMIC_SHARE)
+    return prepare.dynamic_stopwords(saved(spark, folder), DYNAMIC_SHARE)
 
 
 @query
 def dynamic_filter(spark, folder):
-    first = prepared(spark, folder)
+    first = saved(spark, folder)
     rows = prepare.drop_terms(first, prepare.dynamic_stopwords(first, DYNAMIC_SHARE))
     return rows.select(F.col("doc_pos").alias("doc_id"), big(F.size("tokens")).alias("n_tokens"), digest(F.col("tokens")).alias("digest"))
 
@@ -135,7 +140,7 @@ def ngrams(spark, folder):
 @query
 def sentences(spark, folder):
     rows = summary.sentence_rows(S.documents(spark, folder))
-    lists = S.documents(spark, folder).select(F.col("doc_pos").alias("doc_id"), X.sentences(F.col("job_description")).alias("s"))
+    lists = spread(S.documents(spark, folder), "doc_pos").select(F.col("doc_pos").alias("doc_id"), X.sentences(F.col("job_description")).alias("s"))
     sizes = rows.groupBy(F.col("doc_pos").alias("doc_id")).agg(big(F.max(F.length("sentence"))).alias("longest"))
     return lists.join(sizes, "doc_id").select("doc_id", big(F.size("s")).alias("n_sentences"), "longest", digest(F.col("s")).alias("digest"))
 
@@ -395,7 +400,7 @@ def _label(docs: DataFrame) -> DataFrame:
 def _given(spark: SparkSession, folder: str):
     """Corpus without folding, and two ready-made labellings of it."""
     docs = S.documents(spark, folder)
-    corpus = vectors.build_corpus(prepared(spark, folder), fold=False)
+    corpus = vectors.build_corpus(saved(spark, folder), fold=False)
     fine = _label(docs)
     both = fine.select(F.lit(0).alias("grp"), "leaf", "label").unionByName(
         fine.select(F.lit(1).alias("grp"), "leaf", F.floor(F.col("label") / 10).alias("label"))
@@ -405,7 +410,7 @@ def _given(spark: SparkSession, folder: str):
 
 @query
 def tfidf(spark, folder):
-    weights = vectors.unit_terms(prepared(spark, folder))
+    weights = vectors.unit_terms(saved(spark, folder))
     return weights.groupBy(F.col("doc_pos").alias("doc_id")).agg(
         F.count(F.lit(1)).alias("terms"),
         F.round(F.sum("w"), 6).alias("total"),
@@ -417,14 +422,14 @@ def tfidf(spark, folder):
 
 @query
 def copies(spark, folder):
-    members, leaves = vectors.fold_copies(prepared(spark, folder))
+    members, leaves = vectors.fold_copies(saved(spark, folder))
     sizes = leaves.select(F.col("doc_pos").alias("leaf"), "copies")
     return members.join(sizes, "leaf").select(F.col("doc_pos").alias("doc_id"), "leaf", "copies")
 
 
 @query
 def nearest_documents(spark, folder):
-    corpus = vectors.build_corpus(prepared(spark, folder))
+    corpus = vectors.build_corpus(saved(spark, folder))
     n = corpus.leaves.count()
     one = {"grp": F.lit(0), "scale": F.lit(1.0)}
     v = corpus.leaves.select(F.col("leaf").alias("vid"), F.col("leaf").alias("own"), F.lit(0.0).alias("floor"), "vec").withColumns(one)
@@ -435,7 +440,7 @@ def nearest_documents(spark, folder):
 
 @query
 def cosine_pairs(spark, folder):
-    corpus = vectors.build_corpus(prepared(spark, folder))
+    corpus = vectors.build_corpus(saved(spark, folder))
     pairs = tiles.similar_pairs(corpus.leaves, 0.25, corpus.leaves.count())
     return pairs.select("a", "b", F.round(1.0 - F.col("sim"), 6).alias("distance"))
 
@@ -478,7 +483,7 @@ def reassign_tiny(spark, folder):
 
 @query
 def merge_tree(spark, folder):
-    return linkage.average_linkage(vectors.build_corpus(prepared(spark, folder)))
+    return linkage.average_linkage(vectors.build_corpus(saved(spark, folder)))
 
 
 @query

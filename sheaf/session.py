@@ -62,6 +62,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over enough partitions for heavy row-wise work.
+
+    A few large files or row groups would leave most cores idle; in that case
+    rows are dealt out by ``key``. Inputs with many partitions stay as they are.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() > 2 * wanted else df.repartition(2 * wanted, key)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per application.
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from sheaf.session import ship_package
+from sheaf.session import ship_package, spread
 
 _CARDS = "page_id bigint, pos int, key string, texts array<string>, spans array<string>, html_length int"
 
@@ -43,7 +43,7 @@ def raw_cards(
             yield pd.DataFrame(rows, columns=["page_id", "pos", "key", "texts", "spans", "html_length"])
 
     ship_package(pages.sparkSession)
-    return pages.select("page_id", "html").mapInPandas(scan, _CARDS)
+    return spread(pages.select("page_id", "html"), "page_id").mapInPandas(scan, _CARDS)
 
 
 def selector_texts(pages: DataFrame, selectors: Sequence[str]) -> DataFrame:
@@ -67,4 +67,4 @@ def selector_texts(pages: DataFrame, selectors: Sequence[str]) -> DataFrame:
             yield pdf[["page_id", "url"]].assign(found=found)
 
     ship_package(pages.sparkSession)
-    return pages.select("page_id", "url", "html").mapInPandas(scan, "page_id bigint, url string, found array<string>")
+    return spread(pages.select("page_id", "url", "html"), "page_id").mapInPandas(scan, "page_id bigint, url string, found array<string>")
