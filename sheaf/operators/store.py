@@ -1,9 +1,9 @@
 """Keyed upsert with field-level merge rules.
 
 Fields a user manages take the last value given; all others keep the first
-value that is not missing. Both rules are associative, so a store and any
-number of ordered incoming rows fold in one aggregation, with partial
-results per partition before the shuffle.
+value that is not missing. Both rules are associative, so the rows of a batch fold
+among themselves first, with partial results before the shuffle, and the
+outcome is the same as merging them one by one.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheaf.functions.text import is_blank
+from sheaf.session import materialise
 
 # The fields a user manages.
 USER_FIELDS = ("relevant", "applied", "applied_date", "resume_version_used", "cover_letter_version_used")
@@ -64,14 +65,28 @@ def fold(rows: DataFrame, order: str, user_fields: Sequence[str] = USER_FIELDS)
 def upsert(store: DataFrame, incoming: DataFrame, order: str = "pos") -> DataFrame:
     """The store after merging ``incoming`` (same columns plus ``order``) into it.
 
-    Store rows without a key drop out, untouched rows stay as they are. ``order``
-    may be of any sortable type; store rows come before all incoming ones.
+    Store rows without a key drop out, untouched rows stay as they are. Only the
+    batch is folded and written; it then meets the store by joins on the key,
+    so a small batch is broadcast by Spark and the store is not shuffled.
     """
     old = store.where(F.col("source_hash").isNotNull() & (F.col("source_hash") != ""))
-    kind = incoming.schema[order].dataType
-    old = old.withColumn(order, F.struct(F.lit(0).alias("round"), F.lit(None).cast(kind).alias("at")))
-    new = with_key(incoming).withColumn(order, F.struct(F.lit(1).alias("round"), F.col(order).alias("at")))
-    return fold(old.unionByName(new.select(old.columns)), order)
+    batch = with_key(incoming).select(*store.columns, order)
+    folded = materialise(fold(batch, order), "batch")
+    names = [f for f in store.schema if f.name != "source_hash"]
+    new = folded.select("source_hash", *[F.col(f.name).alias(f"new_{f.name}") for f in names], F.lit(True).alias("hit"))
+    values = []
+    for field in names:
+        have, got = F.col(field.name), F.col(f"new_{field.name}")
+        if field.name in USER_FIELDS:
+            value = F.coalesce(got, have)
+        elif isinstance(field.dataType, T.StringType):
+            value = F.when(F.col("hit") & is_blank(have) & ~is_blank(got), got).otherwise(have)
+        else:
+            value = F.coalesce(have, got)
+        values.append(value.alias(field.name))
+    merged = old.join(new, "source_hash", "left").select("source_hash", *values).select(store.columns)
+    known = old.select("source_hash").join(folded.select("source_hash"), "source_hash", "left_semi")
+    return merged.unionByName(folded.join(known, "source_hash", "left_anti").select(store.columns))
 
 
 def distinct_records(rows: DataFrame) -> DataFrame:
