@@ -6,19 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions import cards as C
+from sheaf.session import materialise
 
 
 def first_by_key(cards: DataFrame) -> DataFrame:
     """Keep the first card of each key within a page; missing keys count as one key.
 
-    An aggregate picks the first place per key before the shuffle, so a key
-    repeated very often costs one row per partition.
+    Spark cuts each partition to the first row per key before the shuffle, so a
+    key repeated very often does not pile up in one task.
     """
-    page = ["source", "page_num"]
-    key = F.struct(F.col("key").isNull(), F.coalesce("key", F.lit(""))).alias("_key")
-    keyed = cards.withColumn("_key", key)
-    firsts = keyed.groupBy(*page, "_key").agg(F.min("pos").alias("pos"))
-    return cards.join(firsts.select(*page, "pos"), [*page, "pos"], "left_semi")
+    w = Window.partitionBy("source", "page_num", F.col("key").isNull(), "key").orderBy("pos")
+    return cards.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place")
 
 
 def to_opportunities(cards: DataFrame, now: Column) -> DataFrame:
@@ -48,6 +46,7 @@ def cap_per_source(cards: DataFrame, jobs: int, pages: int) -> DataFrame:
         .withColumn("idx", F.row_number().over(order))
         .where(F.col("idx") <= jobs)
     )
+    near = materialise(near, "near")
     flags = near.groupBy("source", "page_num").agg(
         F.sort_array(F.collect_list(F.struct("idx", "noise"))).alias("flags")
     )

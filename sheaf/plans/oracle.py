@@ -469,6 +469,13 @@ def oracle() -> dict[str, str]:
         "verify_missing": f"""WITH {OPP}, {INCOMING}, {MERGED}
             SELECT DISTINCT source_url FROM opp WHERE {domain('source_url')} = 'jobs.example.com' AND {blank('job_description')}
               AND source_url NOT IN (SELECT source_url FROM merged WHERE NOT {blank('job_description')})""",
+        "json_records": f"""WITH {OPP} SELECT id, designation, md5(job_description) AS digest, company_name, source_url, relevant,
+            {stamp('date_posted')} AS date_posted, applied, {stamp('applied_date')} AS applied_date FROM opp""",
+        "snapshot_store": f"""WITH {OPP}, {INCOMING}, {MERGED}
+            SELECT source_hash, id, location, relevant, applied, resume_version_used FROM merged""",
+        "stopword_table": "SELECT DISTINCT lower(trim(regexp_replace(p_type, ' +', ' ', 'g'))) AS term FROM part",
+        "status_table": f"""SELECT conv_id, turn, role AS section, {statuses('conv_id')} AS status,
+            {stamp('make_timestamp((1704067200 + conv_id * 3600) * 1000000)')} AS last_updated FROM conversations""",
         "tracker_counts": f"""WITH {OPP} SELECT count(*) AS total, count(*) FILTER (WHERE applied) AS applied,
             count(*) FILTER (WHERE NOT applied) AS not_applied FROM opp""",
         "tracker_view": f"""WITH {OPP} SELECT row_number() OVER (ORDER BY coalesce(relevant, false) DESC, applied ASC, date_posted DESC, doc_pos) AS place,
@@ -516,6 +523,11 @@ def oracle() -> dict[str, str]:
         "cluster_summary": f"""{SUMMARY} SELECT cluster_id, total_opportunities, first_doc,
             CASE WHEN len(keywords) = 0 THEN 'No keywords available.' ELSE array_to_string(keywords[1:24], ', ') END AS keyword_line,
             {digest('sentences')} AS sentences_digest FROM summ""",
+        "cluster_tables": f"""WITH {SUMMARY_DOCS}, {prepared('odocs')}, {cluster_terms()},
+            k AS (SELECT cluster_id, CAST(sum(rank * length(term)) AS BIGINT) AS checksum FROM kr WHERE rank <= 24 GROUP BY cluster_id)
+            SELECT cluster_id, count(*) AS total_opportunities, count(source_url) AS with_url, any_value(checksum) AS checksum,
+              '{Q.NOW}' AS generated_at, (SELECT count(DISTINCT cluster_id) FROM lab) AS discovered_k, {len(SINGLES + PHRASES)}::BIGINT AS n_stopwords
+            FROM lab JOIN opp ON doc_pos = doc_id JOIN k USING (cluster_id) GROUP BY cluster_id""",
         "report_sentences": f"""{SUMMARY} SELECT cluster_id, line_no, line FROM (
               SELECT cluster_id, generate_subscripts(sentences, 1) AS line_no, generate_subscripts(sentences, 1) || '. ' || unnest(sentences) AS line FROM summ
               UNION ALL SELECT cluster_id, 1, 'No keyword-matching sentences available.' FROM summ WHERE len(sentences) = 0)""",

@@ -18,6 +18,7 @@ from sheaf.operators import backfill, cards, cuts, linkage, prepare, reassign, r
 from sheaf.operators import tracker, vectors
 from sheaf.plans import pipeline
 from sheaf.session import materialise, scratch_dir, spread
+from sheaf.sources import clusters, config, records
 from sheaf.sources import samples as S
 from sheaf.sources.pages import raw_cards
 from sheaf.streaming import status
@@ -338,6 +339,45 @@ def verify_missing(spark, folder):
     return backfill.unsaved(wanted, saved)
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return os.path.join(scratch_dir(spark), f"{name}-{os.urandom(8).hex()}")
+
+
+@query
+def json_records(spark, folder):
+    """Export as JSON lines and read back."""
+    path = _folder(spark, "records")
+    records.export_json(S.opportunities(spark, folder), path)
+    kept, _ = records.import_lines(spark, path)
+    return kept.select(
+        "id", "designation", F.md5(F.col("job_description").cast("binary")).alias("digest"), "company_name", "source_url",
+        "relevant", stamp(F.col("date_posted")).alias("date_posted"), "applied", stamp(F.col("applied_date")).alias("applied_date"),
+    )
+
+
+@query
+def snapshot_store(spark, folder):
+    """Save the store, save it again after the upsert, read the newest snapshot."""
+    table = records.SnapshotStore(spark, _folder(spark, "store"))
+    table.write(S.opportunities(spark, folder), "first")
+    table.write(store.upsert(table.read(), S.incoming(spark, folder).drop("doc_pos")), "second")
+    return table.read().select("source_hash", "id", "location", "relevant", "applied", "resume_version_used")
+
+
+@query
+def stopword_table(spark, folder):
+    path = _folder(spark, "stopwords")
+    S.table(spark, folder, "part").select(F.concat(F.lit(" "), F.replace("p_type", F.lit(" "), F.lit(" \t ")))).write.text(path)
+    return config.stopwords(spark, path)
+
+
+@query
+def status_table(spark, folder):
+    path = _folder(spark, "sections")
+    config.save_section_status(S.section_status(spark, folder), path)
+    return spark.read.parquet(path).select("conv_id", "turn", "section", "status", stamp(F.col("last_updated")).alias("last_updated"))
+
+
 # Tracker
 
 
@@ -533,6 +573,29 @@ def cluster_summary(spark, folder):
     )
 
 
+@query
+def cluster_tables(spark, folder):
+    """Save a result as latest and as a dated run, read the latest back."""
+    docs, assigned, terms = _summary(spark, folder)
+    top = summary.top_sentences(summary.sentence_scores(docs, assigned, terms))
+    keywords = materialise(summary.top_keywords(terms, report.TOP_KEYWORDS), "keywords")
+    table = materialise(summary.cluster_table(assigned, keywords, top), "clusters")
+    none = spark.createDataFrame([], "term string")
+    result = {
+        "header": summary.result_header(spark, F.lit(NOW), table, 20, None, MIN_SIZE, 0, none, STOPWORDS),
+        "clusters": table,
+        "keywords": keywords,
+        "opportunities": summary.cluster_members(docs, assigned),
+    }
+    path = _folder(spark, "clusters")
+    clusters.save_clusters(result, path, "20300101")
+    latest = clusters.read_clusters(spark, path)
+    people = latest["opportunities"].groupBy("cluster_id").agg(F.count_if(F.col("opportunity.url").isNotNull()).alias("with_url"))
+    words = latest["keywords"].groupBy("cluster_id").agg(big(F.sum(F.col("rank") * F.length("term"))).alias("checksum"))
+    rows = latest["clusters"].join(people, "cluster_id").join(words, "cluster_id").join(latest["header"])
+    return rows.select("cluster_id", "total_opportunities", "with_url", "checksum", "generated_at", big("discovered_k").alias("discovered_k"), big(F.size("explicit_stopwords")).alias("n_stopwords"))
+
+
 @query
 def report_sentences(spark, folder):
     docs, assigned, terms = _summary(spark, folder)
