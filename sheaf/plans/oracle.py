@@ -519,6 +519,10 @@ def oracle() -> dict[str, str]:
             p AS (SELECT distance, row_number() OVER (ORDER BY distance) - 1 AS place, count(*) OVER () AS total FROM d),
             s AS (SELECT *, CASE WHEN total <= 30 THEN 1 ELSE total // 30 END AS step FROM p)
             SELECT place // step + 1 AS idx, distance FROM s WHERE place % step = 0 AND place // step < 30""",
+        "cut_labels": """WITH RECURSIVE t AS (SELECT * FROM (VALUES (0::BIGINT, 0.08::DOUBLE), (1, 0.11), (2, 0.3), (3, 0.9)) v(grp, t)),
+            walk AS (SELECT grp, t, o_orderkey AS leaf, o_orderkey AS label, 0 AS depth FROM orders, t
+              UNION ALL SELECT grp, t, leaf, label // 2, depth + 1 FROM walk WHERE label > 0 AND 1.0::DOUBLE / (1 + length(bin(label))) < t)
+            SELECT grp, leaf, arg_max(label, depth) AS label FROM walk GROUP BY grp, leaf""",
         "cluster_sentences": f"{SENTENCE_RANK} SELECT cluster_id, rank, sentence, hits FROM srank WHERE rank <= 20",
         "cluster_summary": f"""{SUMMARY} SELECT cluster_id, total_opportunities, first_doc,
             CASE WHEN len(keywords) = 0 THEN 'No keywords available.' ELSE array_to_string(keywords[1:24], ', ') END AS keyword_line,

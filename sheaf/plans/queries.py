@@ -541,6 +541,18 @@ def cut_distances(spark, folder):
     return cuts.sample_evenly(totals).select(big("idx").alias("idx"), "distance")
 
 
+@query
+def cut_labels(spark, folder):
+    """Order numbers as leaves of a tree in which each number hangs below its half."""
+    k = F.col("o_orderkey")
+    orders = S.table(spark, folder, "orders")
+    tree = orders.where(k > 0).select(
+        k.alias("gone"), F.floor(k / 2).alias("keep"), (1.0 / (1 + F.length(F.bin(k)))).alias("distance")
+    )
+    labels = cuts.cut(tree, orders.select(k.alias("leaf")), [(0, 0.08), (1, 0.11), (2, 0.3), (3, 0.9)])
+    return labels.select(big("grp").alias("grp"), "leaf", "label")
+
+
 # Summaries and report
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_SPLIT_BYTES = 128 << 20  # the usual size of a scan split
 
 
 def build_session(app: str = "sheaf", master: str | None = None, **conf: str) -> SparkSession:
@@ -65,11 +66,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Rows over enough partitions for heavy row-wise work.
 
-    A few large files or row groups would leave most cores idle; in that case
-    rows are dealt out by ``key``. Inputs with many partitions stay as they are.
+    A small input in few files or row groups would leave most cores idle; its rows
+    are dealt out by ``key``. An input that fills the cores with scan splits
+    anyway stays as it is. Only the sizes known to the planner are looked at.
     """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() > 2 * wanted else df.repartition(2 * wanted, key)
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return df if size > 2 * cores * _SPLIT_BYTES else df.repartition(2 * cores, key)
 
 
 def ship_package(spark: SparkSession) -> None:
