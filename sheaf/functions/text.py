@@ -121,6 +121,12 @@ def window_terms(window: Column, max_n: int = 3) -> Column:
     )
 
 
+def distinct_terms(tokens: Column, max_n: int = 3) -> Column:
+    """The different n-grams of a short token list."""
+    terms = F.transform(windows(tokens, max_n), lambda w: F.transform(window_terms(w, max_n), lambda g: g["term"]))
+    return F.array_distinct(F.filter(F.flatten(terms), lambda t: t.isNotNull()))
+
+
 def when_filled(row: Column, tokens: str) -> Column:
     """``row`` in an array to explode, or no row when its token list is empty.
 
