@@ -140,7 +140,7 @@ def _word_count(c: Column) -> Column:
 
 
 def _pieces(c: Column, pattern: str) -> Column:
-    parts = F.transform(F.split(c, pattern), F.trim)
+    parts = F.transform(F.split(c, pattern), lambda p: F.trim(p))
     return F.filter(parts, lambda p: p != "")
 
 
