@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import packing, simhash
+from sheaf.llm import gridjoin, packing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,10 @@ def simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def grid_order_join(spark: SparkSession, folder: str) -> DataFrame:
+    return gridjoin.near_vectors(table(spark, folder, "embeddings"))
+
+
 def pack_documents(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), with_ids=False)
 
@@ -27,4 +31,5 @@ def pack_documents(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_simhash_dedup": simhash_dedup,
     "op6_packing": pack_documents,
+    "op8_grid_order_join": grid_order_join,
 }
