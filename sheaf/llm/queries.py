@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import gridjoin, packing, simhash
+from sheaf.llm import decontam, gridjoin, licenses, packing, simhash, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,10 +16,49 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages as captures, and a list whose entries follow from the pages' own hosts."""
+    pages = table(spark, folder, "pages")
+    captures = pages.select("page_id", "url", F.expr("timestamp'2024-01-01' + make_dt_interval(0, 0, CAST(page_id * 7919 % 525600 AS INT))").alias("fetched_at"))
+    host = urlfilter.host_of(F.col("url"))
+    hosts = pages.select(host.alias("host")).where("host <> ''").distinct()
+    digit = lambda at: F.conv(F.substring(F.md5("host"), at, 3), 16, 10).cast("int")
+    day = lambda n: F.expr("timestamp'2024-01-01'") + F.make_dt_interval(n)
+    hosts = hosts.select("host", digit(1).alias("a"), digit(4).alias("b"), F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1).alias("domain"))
+    entry = lambda name, pattern, action, at: F.struct(F.lit(name).alias("list"), pattern.alias("pattern"), F.lit(action).alias("action"), at.alias("listed_at"))
+    h, a, b = F.col("host"), F.col("a"), F.col("b")
+    log = F.array(
+        F.when(a % 3 == 0, entry("hosts", h, "block", day(b % 200))),
+        F.when(a % 6 == 0, entry("hosts", h, "remove", day(b % 200 + 60))),
+        F.when(a % 12 == 0, entry("hosts", h, "block", day(b % 200 + 150))),
+        F.when(a % 5 == 0, entry("paths", F.concat(h, F.lit("/en")), "allow", day(b % 100))),
+        F.when(a % 7 == 0, entry("paths", F.concat(h, F.lit("/de")), "block", day(b % 300))),
+        F.when(b % 16 == 0, entry("domains", F.col("domain"), "block", day(F.lit(300) + a % 50))),
+    )
+    entries = hosts.select(F.explode(F.filter(log, lambda x: x.isNotNull())).alias("e")).select("e.*")
+    return urlfilter.filter_captures(captures, entries)
+
+
 def simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files of one tree: source, then a folder per hundred; ids at round numbers are licence files."""
+    docs = table(spark, folder, "documents")
+    path = F.expr(
+        """CASE WHEN doc_id % 1000 = 0 THEN concat(source, '/LICENSE')
+                WHEN doc_id % 100 = 0 THEN concat(source, '/d', CAST(doc_id % 1000 DIV 100 AS STRING), '/LICENSE')
+                ELSE concat(source, '/d', CAST(doc_id % 1000 DIV 100 AS STRING), '/', CAST(doc_id AS STRING), '.txt') END"""
+    )
+    files = docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")
+    return licenses.file_licenses(files, licenses.notices(spark)).withColumnRenamed("file_id", "doc_id")
+
+
 def grid_order_join(spark: SparkSession, folder: str) -> DataFrame:
     return gridjoin.near_vectors(table(spark, folder, "embeddings"))
 
@@ -29,7 +68,10 @@ def pack_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_url_filter": url_filter,
     "op3_simhash_dedup": simhash_dedup,
+    "op4_decontamination": decontamination,
     "op6_packing": pack_documents,
     "op8_grid_order_join": grid_order_join,
+    "op10_license_scan": license_scan,
 }
