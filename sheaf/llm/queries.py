@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import decontam, gridjoin, licenses, packing, simhash, urlfilter
+from sheaf.llm import decontam, gridjoin, langid, licenses, packing, quality, simhash, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,17 @@ def url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urlfilter.filter_captures(captures, entries)
 
 
+def language_model(docs: DataFrame) -> langid.Model:
+    return langid.train(docs.where(~langid.held_out(F.col("doc_id"), 4, 2)))
+
+
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = docs.select("doc_id", langid.label(spark, language_model(docs), F.col("text")).alias("l"))
+    held = langid.held_out(F.col("doc_id"), 4, 2)
+    return found.select("doc_id", held.alias("held_out"), F.col("l.lang").alias("lang_pred"), F.col("l.score").alias("score"), "l.spans")
+
+
 def simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -47,6 +58,12 @@ def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def quality_score(spark: SparkSession, folder: str) -> DataFrame:
+    held = langid.held_out(F.col("doc_id"), 3, 1)
+    found = quality.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"), ~held)
+    return found.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as files of one tree: source, then a folder per hundred; ids at round numbers are licence files."""
     docs = table(spark, folder, "documents")
@@ -69,8 +86,10 @@ def pack_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_url_filter": url_filter,
+    "op2_language_id": language_id,
     "op3_simhash_dedup": simhash_dedup,
     "op4_decontamination": decontamination,
+    "op5_quality": quality_score,
     "op6_packing": pack_documents,
     "op8_grid_order_join": grid_order_join,
     "op10_license_scan": license_scan,
