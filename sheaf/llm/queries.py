@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import decontam, gridjoin, langid, licenses, packing, quality, simhash, urlfilter
+from sheaf.llm import decontam, gridjoin, langid, licenses, packing, pii, quality, simhash, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,13 @@ def quality_score(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = docs.select("doc_id", pii.find(spark, pii.train(docs), F.col("text")).alias("f"))
+    counts = [F.col("f.n")[i].alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(F.col("f.base").cast("binary"), 256).alias("base_sha256"), F.col("f.spans").alias("spans"))
+
+
 def license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as files of one tree: source, then a folder per hundred; ids at round numbers are licence files."""
     docs = table(spark, folder, "documents")
@@ -91,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op4_decontamination": decontamination,
     "op5_quality": quality_score,
     "op6_packing": pack_documents,
+    "op7_personal_data": personal_data,
     "op8_grid_order_join": grid_order_join,
     "op10_license_scan": license_scan,
 }
