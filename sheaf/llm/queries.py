@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import decontam, gridjoin, langid, licenses, packing, pii, quality, simhash, urlfilter
+from sheaf.llm import decontam, gridjoin, langid, licenses, packing, pii, quality, secretscan, simhash, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,6 +71,16 @@ def personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(F.col("f.base").cast("binary"), 256).alias("base_sha256"), F.col("f.spans").alias("spans"))
 
 
+def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Every candidate; values leave the query as hashes only."""
+    docs = table(spark, folder, "documents")
+    model = secretscan.train(docs)
+    found = docs.select("doc_id", "text", F.explode(secretscan.scan(spark, model, F.col("text"), F.col("source"))).alias("f"))
+    value = F.substring(F.col("text"), F.col("f.start") + 1, F.col("f.end") - F.col("f.start"))
+    secret = (F.col("f.score") >= secretscan.THRESHOLD).alias("secret")
+    return found.select("doc_id", "f.start", "f.end", "f.rule", F.sha2(value.cast("binary"), 256).alias("value_sha256"), F.round("f.score", 6).alias("score"), secret)
+
+
 def license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as files of one tree: source, then a folder per hundred; ids at round numbers are licence files."""
     docs = table(spark, folder, "documents")
@@ -100,5 +110,6 @@ QUERIES: dict[str, Query] = {
     "op6_packing": pack_documents,
     "op7_personal_data": personal_data,
     "op8_grid_order_join": grid_order_join,
+    "op9_secret_scan": secret_scan,
     "op10_license_scan": license_scan,
 }

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.llm.components import connected, local_forest
@@ -247,3 +247,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = MAX_B
     least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     named = classes.join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id names their component in ``classes``, with all their columns.
+
+    Of several rows with that id one stays. Rows without an id stay if the component of any of them has no id at all.
+    """
+    first = classes.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    met = docs.join(first, docs["doc_id"] == first["__id"])
+    # the join has brought rows of one id together, in order: numbering them moves nothing
+    one = met.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where("__n = 1").select(*docs.columns)
+    alone = classes.where("doc_id IS NULL AND component_id IS NULL").select("fingerprint").distinct().count()
+    return one.union(docs.where("doc_id IS NULL")) if alone else one
