@@ -139,11 +139,11 @@ class Tagger:
                 state = np.where(t < lengths, back[rows, t, state], state)
         return path
 
-    def fit(self, ids: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 48, rate: float = 0.01) -> list[float]:
-        """Adam over shuffled batches of equal windows; padding carries the first class. Returns the loss per epoch."""
+    def fit(self, ids: np.ndarray, y: np.ndarray, updates: int = 240, batch: int = 48, rate: float = 0.01) -> list[float]:
+        """Adam over shuffled batches of equal windows, so many updates at least; padding carries the first class. Returns the loss per epoch."""
         rng, step, losses = np.random.default_rng(self.seed), 0, []
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
-        for _ in range(epochs):
+        while step < updates and len(ids):
             total = 0.0
             order = rng.permutation(len(ids))
             for lo in range(0, len(ids), batch):

@@ -22,6 +22,7 @@ from sheaf.session import ship_package
 KINDS = ("email", "ip", "card", "phone")  # in this order of ties
 TRAIN_TEXTS = 400  # texts with matches that teach the tagger at most, chosen by hash
 TRAIN_WINDOWS = 1200  # windows of theirs at most, dealt evenly over the kinds and what is none
+UPDATES = 240  # training steps
 STRETCHES = 20  # of one text in the sample
 REACH = 40  # characters looked at on both sides of a digit or an @
 
@@ -168,7 +169,7 @@ def examples(texts: list[str], most: int = TRAIN_WINDOWS, seed: int = 11) -> tup
     return np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
 
 
-def train(docs: DataFrame, text: str = "text", texts: int = TRAIN_TEXTS, most: int = TRAIN_WINDOWS, epochs: int = 12) -> Tagger | None:
+def train(docs: DataFrame, text: str = "text", texts: int = TRAIN_TEXTS, most: int = TRAIN_WINDOWS, updates: int = UPDATES) -> Tagger | None:
     """A tagger from the base matches of at most ``texts`` texts; none without any match.
 
     The texts are those with the smallest hashes among all that hold a candidate, so that the sample depends on nothing but the
@@ -189,7 +190,7 @@ def train(docs: DataFrame, text: str = "text", texts: int = TRAIN_TEXTS, most: i
     if not len(ids) or not y.any():
         return None
     tagger = Tagger(TAGS, _allowed())
-    tagger.fit(ids, y, epochs)
+    tagger.fit(ids, y, updates)
     return tagger
 
 
