@@ -1,0 +1,221 @@
+"""Language, quality, personal data and secrets: held-out accuracy, plain versions and edge cases."""
+
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sheaf.llm import bilstm, langid, pii, quality, secretscan
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{FOLDER}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def language(docs):
+    return langid.train(docs.where(~langid.held_out(F.col("doc_id"), 4, 2)), per_lang=60, features=8000)
+
+
+def test_language_held_out(spark, docs, language):
+    out = docs.where(langid.held_out(F.col("doc_id"), 4, 2)).select("lang", langid.label(spark, language, F.col("text")).alias("l"))
+    right, n = out.agg(F.count_if(F.col("lang") == F.col("l.lang")), F.count("*")).first()
+    assert right / n > 0.97
+
+
+def test_language_spans(spark, docs, language):
+    text = {r.lang: r.text for r in docs.where("length(text) > 900").orderBy("doc_id").collect()}
+    mixed = text["de"][:600] + "\n" + text["fr"][:400]
+    rows = [(mixed,), (None,), ("",), ("123 !!",), (text["en"][:300],), ("привет мир",), ("wort " * 20000,)]
+    got = [r.l for r in spark.createDataFrame(rows, "text string").coalesce(1).select(langid.label(spark, language, F.col("text")).alias("l")).collect()]
+    assert got[0].lang == "de" and 0.5 < got[0].score < 0.8 and [s.lang for s in got[0].spans] == ["de", "fr"]
+    assert abs(got[0].spans[1].start - 601) < 30
+    assert all((got[i].lang, got[i].score) == ("und", 0.0) for i in (1, 2, 3))
+    assert got[4].lang == "en" and got[4].score == 1.0
+    assert got[5].lang in language.langs  # a script of no language leaves all equal
+
+
+def test_viterbi_matches_plain_search():
+    rng = np.random.default_rng(0)
+    model = langid.Model(["a", "b", "c"], {}, np.zeros((1, 3)), {}, 3.0)
+    labeller = langid.Labeller(model)
+    for _ in range(30):
+        n = int(rng.integers(1, 40))
+        scores = -rng.exponential(1.5, (n, 3)).astype(np.float32)
+        words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(n)]
+        labeller.ids = {w: i for i, w in enumerate(words)}
+        labeller.table = scores
+        _, path = labeller.paths([" ".join(words)])[0]
+        value = lambda p: scores[np.arange(n), p].sum() - 3.0 * (np.diff(p) != 0).sum()
+        best = scores[0].astype(float)
+        for t in range(1, n):
+            best = np.maximum(best, best.max() - 3.0) + scores[t]
+        assert value(path.astype(int)) == pytest.approx(best.max(), abs=1e-3)
+
+
+def test_language_without_labels(spark):
+    df = spark.createDataFrame([(1, "text here", None), (2, None, "en")], "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert [r.l.lang for r in df.select(langid.label(spark, model, F.col("text")).alias("l")).collect()] == ["und", "und"]
+    assert df.limit(0).select(langid.label(spark, model, F.col("text")).alias("l")).collect() == []
+
+
+def test_quality_held_out(spark, docs):
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    held = langid.held_out(F.col("doc_id"), 3, 1)
+    out = quality.score_documents(docs, labels, ~held).where(held).join(labels, "doc_id")
+    right, n = out.agg(F.count_if(F.col("predicted") == F.col("quality")), F.count("*")).first()
+    assert right / n > 0.95
+
+
+def test_quality_matches_plain_density():
+    rng = np.random.default_rng(0)
+    p = len(quality.FEATURES)
+    means, covs = [rng.normal(size=p), rng.normal(size=p)], []
+    for _ in range(2):
+        a = rng.normal(size=(p, p))
+        covs.append(a @ a.T + np.eye(p))
+    chol = [np.linalg.cholesky(c) for c in covs]
+    model = quality.Model(0.0, means, [np.linalg.inv(c) for c in chol], [2 * np.log(np.diag(c)).sum() for c in chol], 1.0)
+    x = rng.normal(size=(20, p))
+    logs = [np.array([-0.5 * ((r - m) @ np.linalg.inv(c) @ (r - m) + np.linalg.slogdet(c)[1]) for r in x]) for m, c in zip(means, covs)]
+    assert np.allclose(model.scores(x), 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700))))
+
+
+def test_quality_edges(spark):
+    rows = [(1, "good text here"), (2, None), (3, ""), (None, "x"), (1, "good text here"), (4, "WORD!! " * 9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"x": F.lit(1), "label": F.lit(2)})
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    out = quality.score_documents(df, none, F.lit(True)).collect()
+    assert len(out) == 6 and all(r.score == 0.5 and r.predicted == 1 for r in out)
+    one = spark.createDataFrame([(1, 0), (1, 0), (4, None), (None, 1)], "doc_id long, quality int")
+    assert {r.predicted for r in quality.score_documents(df, one, F.lit(True)).collect()} == {0}
+    assert quality.score_documents(df.limit(0), one, F.lit(True)).collect() == []
+
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_spans(text):
+    out = []
+    for k, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            total = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(digits[::-1]))
+            if kind == "email" or kind == "ip" and all(int(x) <= 255 for x in m.group().split(".")) or kind == "card" and 12 <= len(digits) <= 19 and total % 10 == 0 or kind == "phone" and 9 <= len(digits) <= 15:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_base_spans_are_the_patterns():
+    rng = np.random.default_rng(3)
+    alphabet = list("ab@@..  --++01234567899()%_é\n")
+    for _ in range(3000):
+        text = "".join(rng.choice(alphabet, rng.integers(0, 40)))
+        assert pii.base_spans(text) == plain_spans(text), text
+    for text in ("a@b@c.de", "x@y.z@q.r", "1.2.3.4.5.6.7.8", "256.1.1.1", "001.02.3.4", "4111 1111 1111 1111", "+1 (626) 555-5759.", "4" * 5000, "1." * 3000):
+        assert pii.base_spans(text) == plain_spans(text), text
+
+
+@pytest.fixture(scope="module")
+def tagger(docs):
+    return pii.train(docs)
+
+
+def test_tagger_finds_other_forms(spark, docs, tagger):
+    words = ["ouea thing", "erha onble", "stand ination"]
+    found = 0
+    cases = [(3, "(626) 555-5759"), (3, "431-555-9807"), (0, "hpn.42 @mail2.example.com"), (0, "abc.91 @ mail7.example.com"), (1, "81. 7. 211. 40")] * 6
+    for i, (kind, value) in enumerate(cases):
+        text = f"{words[i % 3]} {value} {words[(i + 1) % 3]} re"
+        spans = pii.added_spans(tagger, [text], [pii.base_spans(text)])[0]
+        found += any(k == kind and text[a:b] in value for a, k, b in spans)
+    assert found / len(cases) >= 0.5
+    rows = docs.limit(300).select("text", pii.find(spark, tagger, F.col("text")).alias("f")).collect()
+    added = sum(len(r.f.spans.split(",")) - len(r.f.base.split(",")) for r in rows)
+    assert added <= 3  # clean text stays clean
+
+
+def test_personal_data_edges(spark, tagger):
+    rows = [("mail a@b.cd and +49 (30) 123-4567",), (None,), ("",), ("9" * 30000 + " x@y.zz",), ("none",)]
+    got = [r.f for r in spark.createDataFrame(rows, "text string").coalesce(1).select(pii.find(spark, tagger, F.col("text")).alias("f")).collect()]
+    assert got[0].base == "email:5:11,phone:16:33" and got[0].n[0] == 1
+    assert [g.base for g in got[1:3]] == ["", ""] and got[4].spans == ""
+    assert got[3].base.endswith("email:30001:30007")
+    assert pii.train(spark.createDataFrame([("no data",), (None,)], "text string")) is None
+
+
+def test_lstm_learns():
+    t = bilstm.Tagger(["O", "B", "I"], np.array([[1, 1, 0], [1, 1, 1], [1, 1, 1]], bool), size=3, hidden=4)
+    t.p = {k: v.astype(np.float64) for k, v in t.p.items()}
+    rng = np.random.default_rng(0)
+    ids, y = rng.integers(0, 9, (2, 6)), np.array([[0, 1, 2, 0, 1, 2], [1, 2, 2, 0, 0, 1]])
+    loss = lambda: t._crf(t.emissions(ids).astype(np.float64), y)[0]
+    before = {k: v.copy() for k, v in t.p.items()}
+    first = loss()
+    losses = t.fit(np.repeat(ids, 8, 0), np.repeat(y, 8, 0), updates=60, batch=16)
+    assert losses[-1] < 0.2 * losses[0] and loss() < 0.2 * first
+    assert any(not np.allclose(before[k], t.p[k]) for k in before)
+
+
+def test_crf_best_path_is_the_best():
+    rng = np.random.default_rng(1)
+    t = bilstm.Tagger(["O", "B", "I"], np.array([[1, 1, 0], [1, 1, 1], [1, 1, 1]], bool))
+    t.p["A"] = rng.normal(size=(3, 3)).astype(np.float32)
+    e = rng.normal(size=(4, 5, 3)).astype(np.float32)
+    lengths = np.array([5, 3, 1, 4])
+    import itertools
+
+    for row, path in enumerate(t.best(e, lengths)):
+        n = lengths[row]
+        value = lambda p: sum(e[row, i, c] for i, c in enumerate(p)) + sum(t.transitions[a, b] for a, b in zip(p, p[1:]))  # noqa: E731, B023
+        assert value(path[:n]) == pytest.approx(max(map(value, itertools.product(range(3), repeat=int(n)))), abs=1e-4)
+
+
+def test_regions_are_reconciled_over_windows():
+    t = bilstm.Tagger(pii.TAGS, pii._allowed())
+    long = "word 12 " * 200
+    assert [len(p) for p in bilstm.decode(t, [long, "x1", long[:97]])] == [len(long), 2, 97]
+    assert bilstm.windows_of(96) == [0] and bilstm.windows_of(97) == [0, 48] and bilstm.windows_of(144) == [0, 48] and bilstm.windows_of(145) == [0, 48, 96]
+
+
+def test_secret_scan(spark, docs):
+    model = secretscan.train(docs)
+    key = "AKIA" + "D3PVRQXKG7EH5QDT"
+    rows = [
+        (1, f"for {key} ention", "src1"), (2, 'token = "b09b66b377c8dfa4c0558dd1a22208770cf30e19" x', None), (3, "password: " + "thing" + " onble ination", "src2"),
+        (4, None, "src1"), (5, "", "src1"), (6, "nothing at all", "src1"), (7, f"{key} " * 2000, "src3"), (7, f"for {key}", None),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"f": F.lit(1), "start": F.lit(2)})
+    found = df.select("doc_id", "text", secretscan.scan(spark, model, F.col("text"), F.col("source")).alias("got")).collect()
+    hit = {r.doc_id: [r.text[c.start : c.end] for c in r.got if c.score >= 0.5] for r in found if r.doc_id != 7}
+    assert hit[1] == [key] and hit[2] == ["b09b66b377c8dfa4c0558dd1a22208770cf30e19"] and hit[4] == hit[5] == hit[6] == []
+    masked = {(r.doc_id, r.source): r.t for r in df.select("doc_id", "source", secretscan.redact(spark, model, F.col("text"), F.col("source")).alias("t")).collect()}
+    assert masked[1, "src1"] == "for [SECRET] ention" and masked[4, "src1"] is None and masked[6, "src1"] == "nothing at all" and key not in masked[7, "src3"]
+
+
+def test_forest_held_out(docs):
+    texts = [(r.text, r.source) for r in docs.where("text RLIKE 'password|token|AKIA'").orderBy("doc_id").collect()]
+    rows = secretscan.silver_findings(texts)
+    known = secretscan.language([t for t, _ in texts], {}, 0.5)
+    x, y = np.array([secretscan.describe(t, c, p, known) for t, c, p, _ in rows]), np.array([r[3] for r in rows])
+    half = np.arange(len(y)) < len(y) // 2
+    score = secretscan.grow(x[half], y[half]).score(x[~half])
+    assert ((score >= 0.5) == y[~half]).mean() > 0.9
+    assert (secretscan.grow(x[:0], y[:0]).score(x) == 1).all()
+
+
+def test_candidates():
+    assert [(r) for *_, r in secretscan.candidates("pwd=abcdef1 eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.SflKxwRJSM")] == ["assigned", "jwt"]
+    assert secretscan.candidates("plain words only") == []
+    text = "api_key: 'ghp_" + "a1B2" * 9 + "'"
+    assert [(text[a:b], r) for a, b, r in secretscan.candidates(text)] == [("ghp_" + "a1B2" * 9, "github")]
