@@ -36,7 +36,9 @@ def url_filter(spark: SparkSession, folder: str) -> DataFrame:
         F.when(b % 16 == 0, entry("domains", F.col("domain"), "block", day(F.lit(300) + a % 50))),
     )
     entries = hosts.select(F.explode(F.filter(log, lambda x: x.isNotNull())).alias("e")).select("e.*")
-    return urlfilter.filter_captures(captures, entries)
+    found = urlfilter.filter_captures(captures, entries)
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return found.select("page_id", "url", shown("fetched_at"), "host", "blocked", "pattern", shown("listed_at"))
 
 
 def language_model(docs: DataFrame) -> langid.Model:
