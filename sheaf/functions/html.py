@@ -91,9 +91,14 @@ def _attribute_test(body: str):
 
 
 def compile_selector(selector: str):
-    """A test for one simple selector: tag, #id, .class and [attribute] parts."""
-    tests = []
-    for m in _STEP.finditer(selector):
+    """A test for one simple selector: tag, #id, .class and [attribute] parts; raises on anything else."""
+    tests, at = [], 0
+    selector = selector.strip()
+    while at < len(selector):
+        m = _STEP.match(selector, at)
+        if m is None or (m["attr"] and not _ATTR.match(m["attr"])):
+            raise ValueError(f"selector {selector!r} is not understood from {selector[at:]!r} on")
+        at = m.end()
         if m["tag"] and m["tag"] != "*":
             tests.append(lambda e, t=m["tag"].lower(): e.tag == t)
         elif m["id"]:
@@ -102,6 +107,8 @@ def compile_selector(selector: str):
             tests.append(lambda e, t=m["cls"]: t in e.attrs.get("class", "").split())
         elif m["attr"]:
             tests.append(_attribute_test(m["attr"]))
+    if not tests and selector != "*":
+        raise ValueError("an empty selector")
     return lambda e: bool(e.tag) and all(t(e) for t in tests)
 
 

@@ -65,16 +65,28 @@ def normalise_list(c: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(c, strip), lambda x: F.length(x) > 0))
 
 
-def token_array(c: Column) -> Column:
-    """Lower-case words of three or more plain letters, without stop and number words."""
-    blocked = sorted(english_stop_words() | NUMBER_WORDS)
+def token_array(c: Column, blocked: Iterable[str] | None = None) -> Column:
+    """Lower-case words of three or more plain letters, without stop and number words (a list of one's own, if given)."""
+    out = sorted(english_stop_words() | NUMBER_WORDS if blocked is None else set(blocked))
     words = F.filter(
         F.split(F.lower(c), _TOKEN_BREAK),
-        lambda t: t.rlike("^[a-z]{3,}$") & ~t.isin(blocked),
+        lambda t: t.rlike("^[a-z]{3,}$") & ~t.isin(out) if out else t.rlike("^[a-z]{3,}$"),
     )
     return F.transform(words, lambda t: F.when(t == "datum", F.lit("data")).otherwise(t))
 
 
+def word_array(c: Column, blocked: Iterable[str] | None = None) -> Column:
+    """Lower-case words for a lexicon: without stop words and numbers, of any length and alphabet."""
+    out = sorted(english_stop_words() | NUMBER_WORDS if blocked is None else set(blocked))
+    return F.filter(F.split(F.lower(c), _TOKEN_BREAK), lambda t: (t != "") & ~t.rlike(r"^\p{N}+$") & ~t.isin(out))
+
+
+def lemma(c: Column) -> Column:
+    """A lemma as a token, or null where it is too short or not of plain letters."""
+    low = F.lower(F.trim(c))
+    return F.when(low == "datum", F.lit("data")).when(low.rlike("^[a-z][a-z-]{2,}$"), low)
+
+
 def split_stopwords(terms: Iterable[str]) -> tuple[list[str], list[str]]:
     """Stopword parameters as (single words, phrases), phrases longest first."""
     cleaned = {re.sub(r"\s+", " ", str(t).strip().lower()) for t in terms} - {""}

@@ -8,11 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions import text as X
+from sheaf.functions.joins import join_counted
 from sheaf.session import materialise, spread
 
-# Word lists up to this length become a hash set inside the expression.
-INLINE_WORDS = 5000
-
 
 def usable(docs: DataFrame, text: str = "job_description") -> DataFrame:
     return docs.where(~X.is_blank(F.col(text)))
@@ -22,26 +20,35 @@ def tokenise(docs: DataFrame, text: str = "job_description", lexicon: DataFrame
     """``(doc_pos, tokens, keywords)`` of all documents that have tokens.
 
     Without a lexicon every token is a keyword. ``lexicon(token, lemma, is_noun)``
-    replaces tokens by lemmas and keeps nouns only as keywords; words it does
-    not know stay as they are and count as keywords.
+    replaces words by lemmas and keeps nouns only as keywords; words it does
+    not know stay as they are and count as keywords. Stop words are judged by
+    the word, length and letters by its lemma.
     """
     texts = usable(spread(docs.select("doc_pos", text), "doc_pos"), text)
-    row = F.struct(X.token_array(F.col(text)).alias("tokens"))
-    rows = texts.select("doc_pos", F.explode(X.when_filled(row, "tokens")).alias("r")).select("doc_pos", "r.tokens")
     if lexicon is None:
+        row = F.struct(X.token_array(F.col(text)).alias("tokens"))
+        rows = texts.select("doc_pos", F.explode(X.when_filled(row, "tokens")).alias("r")).select("doc_pos", "r.tokens")
         return rows.withColumn("keywords", F.col("tokens"))
-    words = rows.select("doc_pos", F.posexplode("tokens").alias("i", "token"))
-    known = words.join(lexicon.select("token", "lemma", "is_noun"), "token", "left").select(
-        "doc_pos",
-        F.struct(
-            "i",
-            F.coalesce("lemma", "token").alias("word"),
-            F.coalesce("is_noun", F.lit(True)).alias("noun"),
-        ).alias("w"),
-    )
-    lists = known.groupBy("doc_pos").agg(F.sort_array(F.collect_list("w")).alias("ws"))
+    return lemmas(texts.select("doc_pos", X.word_array(F.col(text)).alias("words")), ["doc_pos"], lexicon)
+
+
+def lemmas(rows: DataFrame, keys: list[str], lexicon: DataFrame) -> DataFrame:
+    """``(keys.., tokens, keywords)`` from ``rows(keys.., words)`` by a lexicon; rows without a token drop out.
+
+    Each different word of a row meets the lexicon once; common words are split off by ``join_counted``.
+    """
+    words = rows.select(*keys, F.posexplode("words").alias("i", "token"))
+    places = words.groupBy(*keys, "token").agg(F.collect_list("i").alias("at"))
+    places = materialise(places, "words")
+    used = places.groupBy("token").agg(F.count(F.lit(1)).alias("rows"))
+    known = materialise(used.join(lexicon.select("token", "lemma", "is_noun"), "token", "left"), "lexicon")
+    named = join_counted(places, known, ["token"], "rows")
+    lemma = X.lemma(F.coalesce("lemma", "token"))
+    kept = named.select(*keys, F.explode("at").alias("i"), lemma.alias("word"), F.coalesce("is_noun", F.lit(True)).alias("noun"))
+    entry = F.struct("i", "word", "noun")
+    lists = kept.where("word IS NOT NULL").groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("ws"))
     return lists.select(
-        "doc_pos",
+        *keys,
         F.transform("ws", lambda w: w["word"]).alias("tokens"),
         F.transform(F.filter("ws", lambda w: w["noun"]), lambda w: w["word"]).alias("keywords"),
     )
@@ -81,23 +88,13 @@ def dynamic_stopwords(prepared: DataFrame, ratio: float | None = None) -> DataFr
 
 
 def drop_terms(prepared: DataFrame, terms: DataFrame) -> DataFrame:
-    """Remove the terms of a table from tokens and keywords.
+    """Remove the terms of a short list from tokens and keywords.
 
-    Short lists go into the expression as a hash set. Longer ones are removed
-    by an anti join on exploded words.
+    Dynamic stop words are in a share of all documents, so there are at most as many as a document
+    has different words on average, divided by that share. They go into the expression as a hash set.
     """
-    head = [r.term for r in terms.select("term").take(INLINE_WORDS + 1)]
-    if len(head) <= INLINE_WORDS:
-        return _filled(prepared, X.drop_words(F.col("tokens"), head), X.drop_words(F.col("keywords"), head))
-
-    def cleaned(name: str) -> DataFrame:
-        words = prepared.select("doc_pos", F.posexplode(name).alias("i", "term"))
-        kept = words.join(terms.select("term"), "term", "left_anti")
-        lists = kept.groupBy("doc_pos").agg(F.sort_array(F.collect_list(F.struct("i", "term"))).alias("ws"))
-        return lists.select("doc_pos", F.transform("ws", lambda w: w["term"]).alias(name))
-
-    both = cleaned("tokens").join(cleaned("keywords"), "doc_pos", "left")
-    return both.withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
+    listed = [r.term for r in terms.select("term").collect()]
+    return _filled(prepared, X.drop_words(F.col("tokens"), listed), X.drop_words(F.col("keywords"), listed))
 
 
 def prepare(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from sheaf.functions.cards import NOISE_PATTERNS
 from sheaf.functions.stopwords import NUMBER_WORDS, english_stop_words
-from sheaf.functions.text import split_stopwords
 from sheaf.operators.resume import HEADER_PROMPT
 from sheaf.plans import queries as Q
 from sheaf.sources import samples as S
@@ -33,7 +32,9 @@ def words(terms) -> str:
 
 
 WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-SINGLES, PHRASES = split_stopwords(Q.STOPWORDS)
+# The stop words of the queries, worked out by hand: single words, and phrases from the longest to the shortest.
+SINGLES = ["erin", "hehely", "ing", "inoran", "that", "the", "thth"]
+PHRASES = ["thatin ononst", "orre rewh", "the tion"]
 BLOCKED = english_stop_words() | NUMBER_WORDS
 
 
@@ -167,6 +168,18 @@ def cluster_terms(docs: str = "prep", label: str = "lab") -> str:
                      length(term) DESC, first_doc, n, first_i) AS rank FROM kt)"""
 
 
+def lemma_list(x: str) -> str:
+    """Tokens of a text by the queries' lexicon: endings cut off, then judged as tokens."""
+    raw = rf"list_filter(regexp_split_to_array(lower({x}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '' AND NOT regexp_full_match(t, '\p{{N}}+') AND t NOT IN {words(BLOCKED)})"
+    cut = "regexp_replace(t, '(ing|es|ed)$', '')"
+    named = f"list_transform({raw}, lambda t: {{'w': CASE WHEN {cut} = 'datum' THEN 'data' ELSE {cut} END, 'noun': length(t) % 3 <> 0}})"
+    return f"list_transform(list_filter({named}, lambda l: regexp_full_match(l.w, '[a-z][a-z-]{{2,}}')), lambda l: l.w)"
+
+
+LEMMAS = f"""
+    lex AS (SELECT * FROM (SELECT doc_id, {lemma_list('text')} AS tokens, {lemma_list('text').replace("lambda l: regexp_full_match", "lambda l: l.noun AND regexp_full_match")} AS keywords
+      FROM documents WHERE NOT {blank('text')}) WHERE len(tokens) > 0)"""
+
 LAB = "lab AS (SELECT doc_id, CAST(regexp_extract(source, '(\\d+)', 1) AS BIGINT) AS cluster_id FROM documents)"
 
 URL = (
@@ -174,7 +187,7 @@ URL = (
 )
 OPP = f"""
     opp AS (
-      SELECT d.doc_id AS doc_pos, 'op-' || d.doc_id AS id, left(split_part(d.text, chr(10), 1), 60) AS designation,
+      SELECT d.doc_id AS doc_pos, 'op-' || d.doc_id AS id, split_part(d.text, chr(10), 1) AS designation,
         CASE WHEN d.doc_id % 7 <> 0 THEN d.text END AS job_description, d.lang AS location,
         CASE WHEN d.doc_id % 11 = 0 THEN '' ELSE d.source END AS company_name,
         CASE WHEN d.doc_id % 97 <> 0 THEN {URL} END AS source_url,
@@ -290,7 +303,7 @@ GIVEN = f"""{CORPUS},
     silh AS (SELECT grp, doc_id, label, CASE WHEN n > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END AS v FROM sil)"""
 
 SUMMARY_DOCS = f"""{OPP},
-    odocs AS (SELECT doc_pos AS doc_id, job_description AS text FROM opp WHERE NOT {blank('job_description')}),
+    odocs AS (SELECT doc_pos AS doc_id, whole AS text FROM opp WHERE NOT {blank('whole')}),
     lab AS (SELECT doc_id, CAST(regexp_extract(source, '(\\d+)', 1) AS BIGINT) AS cluster_id FROM documents
             WHERE doc_id IN (SELECT doc_id FROM odocs))"""
 SENTENCE_RANK = f"""WITH {SUMMARY_DOCS}, {prepared('odocs')}, {cluster_terms()}, {sentence_ctes('odocs')},
@@ -528,7 +541,7 @@ def oracle() -> dict[str, str]:
             CASE WHEN len(keywords) = 0 THEN 'No keywords available.' ELSE array_to_string(keywords[1:24], ', ') END AS keyword_line,
             {digest('sentences')} AS sentences_digest FROM summ""",
         "cluster_tables": f"""WITH {SUMMARY_DOCS}, {prepared('odocs')}, {cluster_terms()},
-            k AS (SELECT cluster_id, CAST(sum(rank * length(term)) AS BIGINT) AS checksum FROM kr WHERE rank <= 24 GROUP BY cluster_id)
+            k AS (SELECT cluster_id, CAST(sum(rank * length(term)) AS BIGINT) AS checksum FROM kr GROUP BY cluster_id)
             SELECT cluster_id, count(*) AS total_opportunities, count(source_url) AS with_url, any_value(checksum) AS checksum,
               '{Q.NOW}' AS generated_at, (SELECT count(DISTINCT cluster_id) FROM lab) AS discovered_k, {len(SINGLES + PHRASES)}::BIGINT AS n_stopwords
             FROM lab JOIN opp ON doc_pos = doc_id JOIN k USING (cluster_id) GROUP BY cluster_id""",
@@ -545,8 +558,43 @@ def oracle() -> dict[str, str]:
             count(*) AS total FROM orders GROUP BY o_orderpriority""",
         "due_outputs": f"""SELECT c_custkey AS output, {stamp('max(o_orderdate)')} AS generated_at FROM customer LEFT JOIN orders ON o_custkey = c_custkey
             GROUP BY c_custkey HAVING max(o_orderdate) IS NULL OR max(o_orderdate) < TIMESTAMP '1998-06-01' - INTERVAL 30 DAY""",
-        "display_time": f"""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN {stamp('o_orderdate')} || ' UTC' WHEN o_orderkey % 3 = 1 THEN o_orderpriority
-            WHEN o_orderkey % 5 = 0 THEN 'Unknown' ELSE {stamp('o_orderdate')} || ' ' END AS shown FROM orders""",
+        "display_time": f"""WITH t AS (SELECT o_orderkey, o_orderkey % 13 AS k, {stamp('o_orderdate')} AS s, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS iso, o_orderpriority FROM orders)
+            SELECT o_orderkey, CASE k WHEN 0 THEN s || ' ' WHEN 1 THEN s || ' UTC' WHEN 2 THEN s || ' UTC+05:30' WHEN 3 THEN s || ' UTC' WHEN 4 THEN s || ' UTC-08:00'
+              WHEN 5 THEN left(iso, 4) WHEN 6 THEN left(iso, 7) WHEN 7 THEN left(s, 10) || ' 00:00:00 ' WHEN 8 THEN left(s, 16) || ':00 ' WHEN 9 THEN substr(iso, 12, 5)
+              WHEN 10 THEN left(s, 10) || ' 00:00:00 ' WHEN 11 THEN o_orderpriority ELSE 'Unknown' END AS shown FROM t""",
+        "status_current": f"""WITH part AS (
+              SELECT user_id, event_id % 2 AS b,
+                arg_max(event_type = 'view', (ts, event_id)) FILTER (WHERE event_type IN ('view', 'click')) AS relevant,
+                arg_max(event_type = 'purchase', (ts, event_id)) FILTER (WHERE event_type IN ('purchase', 'error')) AS applied,
+                arg_max(ts, (ts, event_id)) FILTER (WHERE event_type = 'purchase') AS at
+              FROM events GROUP BY ALL)
+            SELECT CAST(u.user_id AS VARCHAR) AS user_id, coalesce(y.relevant, x.relevant) AS relevant, coalesce(y.applied, false) AS applied,
+              {stamp('coalesce(y.at, x.at)')} AS applied_date
+            FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN part x ON x.user_id = u.user_id AND x.b = 0 LEFT JOIN part y ON y.user_id = u.user_id AND y.b = 1""",
+        "lexicon_tokens": f"""WITH {LEMMAS} SELECT doc_id, len(tokens) AS n_tokens, len(keywords) AS n_keywords, {digest('tokens')} AS tokens_digest,
+              {digest('keywords')} AS keywords_digest FROM lex""",
+        "dynamic_default": """WITH d AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), ''), lambda c: c <> ''))) AS term FROM documents)
+            SELECT term, count(*) AS df FROM d GROUP BY term
+            HAVING count(*) >= greatest(2, ceil((SELECT count(*) FROM documents) * CASE WHEN (SELECT count(*) FROM documents) >= 10 THEN 0.6 ELSE 0.75 END))""",
+        "json_object": f"WITH {OPP} SELECT id, designation, source_url, applied FROM opp WHERE source_url IS NOT NULL",
+        "default_values": f"""WITH {OPP}, {INCOMING} SELECT pos, id, CASE WHEN location = 'remote' THEN {stamp('date_posted')} ELSE '{Q.NOW}' END AS date_posted, false AS applied FROM inc""",
+        "selector_table": """SELECT c_name AS domain, unnest(['container', 'description', 'paged']) AS field, unnest([c_mktsegment, c_mktsegment || '|' || c_name, 'true']) AS selectors
+            FROM customer""",
+        "last_run": f"""SELECT o_orderpriority, count(*) AS n, (SELECT {stamp('max(o_orderdate)')} FROM orders WHERE o_orderkey % 3 <> 0) AS last FROM orders GROUP BY 1""",
+        "merge_heights": """WITH d AS (SELECT DISTINCT round(1 / (1 + length(bin(o_orderkey))), 9) AS distance FROM orders WHERE o_orderkey > 0)
+            SELECT 'whole' AS tree, distance FROM d UNION ALL SELECT 'parts', distance FROM (SELECT distance FROM d UNION SELECT 1.0)""",
+        "cluster_sentences_lexicon": f"""WITH {LEMMAS}, {LAB},
+            {cluster_terms('(SELECT doc_id, keywords FROM lex)').replace(f" HAVING term NOT IN {words(SINGLES + PHRASES)}", "")}, {sentence_ctes('(SELECT doc_id, text FROM documents)')},
+            folded AS (SELECT cluster_id, sentence FROM sent JOIN lab USING (doc_id) GROUP BY ALL),
+            stok AS (SELECT cluster_id, sentence, {lemma_list('sentence')} AS toks FROM folded),
+            sgram AS (SELECT DISTINCT cluster_id, sentence, term FROM (SELECT cluster_id, sentence, unnest({gram_list('toks')}, recursive := true) FROM stok)),
+            hit AS (SELECT cluster_id, sentence, count(*) AS hits FROM sgram JOIN kt USING (cluster_id, term) GROUP BY ALL)
+            SELECT cluster_id, count(*) AS sentences, CAST(sum(hits) AS BIGINT) AS hits, max(hits) AS most FROM hit GROUP BY cluster_id""",
+        "nested_members": f"""WITH {SUMMARY_DOCS}, {prepared('odocs')}, {cluster_terms()},
+            k AS (SELECT cluster_id, count(*) AS n_keywords, arg_min(term, rank) AS best FROM kr GROUP BY 1),
+            c AS (SELECT cluster_id, row_number() OVER (ORDER BY count(*) DESC, min(doc_id)) AS place FROM lab GROUP BY 1)
+            SELECT place, cluster_id, coalesce(n_keywords, 0) AS n_keywords, best, row_number() OVER (PARTITION BY cluster_id ORDER BY doc_id) - 1 AS i, 'op-' || doc_id AS id
+            FROM lab JOIN c USING (cluster_id) LEFT JOIN k USING (cluster_id)""",
         "resume_sections": f"WITH {RESUME}, {SECTION_ROWS} SELECT resume_id, ord, section, body FROM secs",
         "resume_prompts": f"{PROMPTS} SELECT prompt_id, resume_id, job_id, section, ord, md5(prompt) AS digest FROM prm",
         "header_prompts": f"""WITH {RESUME}, p AS (SELECT resume_id, {lit(before)} || body || {lit(after)} AS prompt FROM res)
@@ -560,9 +608,8 @@ def oracle() -> dict[str, str]:
         "stale_sections": f"""SELECT conv_id, turn, role AS section, {statuses('conv_id')} AS status FROM conversations
             WHERE NOT ({statuses('conv_id')} = 'Completed' AND conv_id // 24 >= 2)""",
         "section_updates": f"""SELECT conv_id, turn,
-            CASE WHEN role = 'system' THEN 'In Progress' WHEN length(text) % 5 = 0 THEN 'Failed' ELSE 'Completed' END AS status,
-            CASE WHEN role = 'system' THEN '2024-02-01 00:00:00' ELSE '{Q.NOW}' END AS last_updated,
-            CASE WHEN role <> 'system' AND length(text) % 5 <> 0 THEN md5(text) END AS digest FROM conversations""",
+            CASE WHEN length(text) % 5 = 0 THEN 'Failed' ELSE 'Completed' END AS status, '{Q.NOW}' AS last_updated,
+            CASE WHEN length(text) % 5 <> 0 THEN md5(text) END AS digest FROM conversations""",
         "failed_sections": "SELECT role AS section, count(*) AS failed FROM conversations WHERE conv_id % 4 = 3 GROUP BY role",
         "build_succeeded": """SELECT count(*) FILTER (WHERE conv_id % 4 = 3) AS failed, count(*) FILTER (WHERE conv_id % 4 = 3) = 0 AS succeeded
             FROM conversations""",

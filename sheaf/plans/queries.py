@@ -167,6 +167,28 @@ def list_normalise(spark, folder):
     return turns.select("conv_id", "turn", big(F.size(words)).alias("entries"), digest(words).alias("digest"))
 
 
+def _lexicon(spark: SparkSession, folder: str) -> DataFrame:
+    """A lexicon of the documents' own words: endings cut off, words of some lengths no nouns."""
+    words = S.documents(spark, folder).select(F.explode(X.word_array(F.col("job_description"))).alias("token")).distinct()
+    return words.select("token", F.regexp_replace("token", "(ing|es|ed)$", "").alias("lemma"), (F.length("token") % 3 != 0).alias("is_noun"))
+
+
+@query
+def lexicon_tokens(spark, folder):
+    rows = prepare.tokenise(S.documents(spark, folder), lexicon=materialise(_lexicon(spark, folder), "lexicon"))
+    return rows.select(
+        F.col("doc_pos").alias("doc_id"), big(F.size("tokens")).alias("n_tokens"), big(F.size("keywords")).alias("n_keywords"),
+        digest(F.col("tokens")).alias("tokens_digest"), digest(F.col("keywords")).alias("keywords_digest"),
+    )
+
+
+@query
+def dynamic_default(spark, folder):
+    """The default share, over the letters of each document instead of its words."""
+    docs = S.documents(spark, folder).select(F.col("doc_pos"), F.split(F.lower(F.regexp_replace("job_description", r"[^A-Za-z]", "")), "").alias("keywords"))
+    return prepare.dynamic_stopwords(docs.withColumn("keywords", F.filter("keywords", lambda c: c != "")))
+
+
 # Addresses and search
 
 
@@ -364,6 +386,45 @@ def snapshot_store(spark, folder):
     return table.read().select("source_hash", "id", "location", "relevant", "applied", "resume_version_used")
 
 
+@query
+def json_object(spark, folder):
+    """Records of a JSON object keyed by hash, one object per source."""
+    path = _folder(spark, "objects")
+    rows = S.opportunities(spark, folder).where("source_hash IS NOT NULL")
+    value = F.to_json(F.struct("id", "designation", "source_url", "applied"))
+    entry = F.concat(F.lit('"'), F.col("source_hash"), F.lit('": '), value)
+    each = rows.groupBy("company_name", "location").agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ", "), F.lit("}")).alias("value"))
+    each.select("value").write.text(path)
+    kept, _ = records.import_json(spark, path, by_line=True)
+    return kept.select("id", "designation", "source_url", "applied")
+
+
+@query
+def default_values(spark, folder):
+    rows = store.with_defaults(S.incoming(spark, folder).withColumns({"applied": F.lit(None).cast("boolean"), "date_posted": F.when(F.col("location") == "remote", F.col("date_posted"))}), now())
+    return rows.select("pos", "id", stamp(F.col("date_posted")).alias("date_posted"), "applied")
+
+
+@query
+def selector_table(spark, folder):
+    """One configuration object per market segment, domains by nation."""
+    path = _folder(spark, "selectors")
+    rows = S.table(spark, folder, "customer").select("c_name", "c_mktsegment")
+    fields = F.to_json(F.struct(F.col("c_mktsegment").alias("container"), F.array("c_mktsegment", "c_name").alias("description"), F.lit(True).alias("paged")))
+    entry = F.concat(F.lit('"'), F.col("c_name"), F.lit('": '), fields)
+    rows.groupBy("c_mktsegment").agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ","), F.lit("}")).alias("value")).select("value").write.text(path)
+    return config.selectors(spark, path, by_line=True).select("domain", "field", F.array_join("selectors", "|").alias("selectors"))
+
+
+@query
+def last_run(spark, folder):
+    """Latest run per priority, unreadable times among them."""
+    orders = S.table(spark, folder, "orders")
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.lit("soon")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))
+    at = clusters.last_generated_at(orders.select(text.alias("generated_at")))
+    return orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n")).withColumn("last", stamp(F.lit(at)))
+
+
 @query
 def stopword_table(spark, folder):
     path = _folder(spark, "stopwords")
@@ -428,6 +489,25 @@ def status_stream(spark, folder):
     return _status(status.fold_updates(log.read()))
 
 
+@query
+def status_current(spark, folder):
+    """Clicks, a fold, records collected anew, and later clicks: the store as a reader sees it."""
+    clicks = S.table(spark, folder, "events")
+    users = clicks.select(F.col("user_id").cast("string").alias("source_url")).distinct()
+    rows = users.select(*[F.col("source_url").alias(f.name) if f.name in ("source_url", "source_hash") else F.lit(None).cast(f.dataType).alias(f.name) for f in records.OPPORTUNITY])
+    rows = store.with_defaults(rows, now()).withColumn("id", F.col("source_url"))
+    saved = records.SnapshotStore(spark, _folder(spark, "store"))
+    saved.write(store.with_key(rows), "first")
+    log = status.ChangeLog(spark, _folder(spark, "log"))
+    part = lambda p: _updates(clicks.where(F.col("event_id") % 2 == p)).withColumn("source_hash", F.sha2("source_hash", 256))
+    log.append(part(0), 0)
+    status.compact(saved, log)
+    saved.write(store.upsert(saved.read(), rows.withColumn("pos", F.lit(0))), "again")
+    log.append(part(1), 1)
+    seen = status.live(saved, log)
+    return seen.select(F.col("source_url").alias("user_id"), "relevant", "applied", stamp(F.col("applied_date")).alias("applied_date"))
+
+
 # Vectors and clusters
 
 
@@ -528,10 +608,10 @@ def merge_tree(spark, folder):
 
 @query
 def cluster_run(spark, folder):
-    docs = S.opportunities(spark, folder)
+    docs = S.opportunities(spark, folder, gaps=False)
     result = pipeline.cluster(docs, F.lit(NOW), STOPWORDS, 4)
     table = result["clusters"].join(result["header"].select("discovered_k", "natural_discovered_k"))
-    return table.select("cluster_id", "total_opportunities", report.keyword_line(F.col("keywords")).alias("keyword_line"), "discovered_k", "natural_discovered_k")
+    return table.select("cluster_id", "total_opportunities", report.keyword_line(F.col("leading_keywords")).alias("keyword_line"), "discovered_k", "natural_discovered_k")
 
 
 @query
@@ -541,6 +621,22 @@ def cut_distances(spark, folder):
     return cuts.sample_evenly(totals).select(big("idx").alias("idx"), "distance")
 
 
+def _order_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Order numbers as a tree in which each number hangs below its half."""
+    k = F.col("o_orderkey")
+    orders = S.table(spark, folder, "orders").where(k > 0)
+    return orders.select(k.alias("gone"), F.floor(k / 2).alias("keep"), (1.0 / (1 + F.length(F.bin(k)))).alias("distance"))
+
+
+@query
+def merge_heights(spark, folder):
+    """Distinct distances of a tree; 1.0 is one as long as parts stay apart."""
+    tree = _order_tree(spark, folder)
+    n = tree.count()
+    whole, parts = cuts.merge_distances(tree, n + 1), cuts.merge_distances(tree, n + 9)
+    return whole.select(F.lit("whole").alias("tree"), F.round("distance", 9).alias("distance")).unionByName(parts.select(F.lit("parts").alias("tree"), F.round("distance", 9).alias("distance")))
+
+
 @query
 def cut_labels(spark, folder):
     """Order numbers as leaves of a tree in which each number hangs below its half."""
@@ -557,7 +653,7 @@ def cut_labels(spark, folder):
 
 
 def _summary(spark: SparkSession, folder: str):
-    docs = S.opportunities(spark, folder)
+    docs = S.opportunities(spark, folder, gaps=False)
     assigned = S.source_label(S.documents(spark, folder)).join(docs.where(~X.is_blank(F.col("job_description"))).select("doc_pos"), "doc_pos")
     ready = prepare.drop_explicit(prepare.tokenise(docs), STOPWORDS)
     terms = materialise(summary.unblocked(summary.cluster_terms(ready, assigned), STOPWORDS), "terms")
@@ -580,18 +676,19 @@ def cluster_summary(spark, folder):
         "cluster_id",
         "total_opportunities",
         "first_doc",
-        report.keyword_line(F.col("keywords")).alias("keyword_line"),
+        report.keyword_line(F.col("leading_keywords")).alias("keyword_line"),
         digest(F.col("keyword_sentences")).alias("sentences_digest"),
     )
 
 
 @query
 def cluster_tables(spark, folder):
-    """Save a result as latest and as a dated run, read the latest back."""
+    """Save a result as a dated run and once more without a date, read the dated run back."""
     docs, assigned, terms = _summary(spark, folder)
     top = summary.top_sentences(summary.sentence_scores(docs, assigned, terms))
-    keywords = materialise(summary.top_keywords(terms, report.TOP_KEYWORDS), "keywords")
-    table = materialise(summary.cluster_table(assigned, keywords, top), "clusters")
+    keywords = materialise(summary.ranked_keywords(terms), "keywords")
+    leading = keywords.where(F.col("rank") <= report.TOP_KEYWORDS)
+    table = materialise(summary.cluster_table(assigned, leading, top), "clusters")
     none = spark.createDataFrame([], "term string")
     result = {
         "header": summary.result_header(spark, F.lit(NOW), table, 20, None, MIN_SIZE, 0, none, STOPWORDS),
@@ -601,13 +698,38 @@ def cluster_tables(spark, folder):
     }
     path = _folder(spark, "clusters")
     clusters.save_clusters(result, path, "20300101")
-    latest = clusters.read_clusters(spark, path)
+    clusters.save_clusters({**result, "keywords": keywords.limit(0)}, path)
+    latest = clusters.read_clusters(spark, path, "20300101")
     people = latest["opportunities"].groupBy("cluster_id").agg(F.count_if(F.col("opportunity.url").isNotNull()).alias("with_url"))
     words = latest["keywords"].groupBy("cluster_id").agg(big(F.sum(F.col("rank") * F.length("term"))).alias("checksum"))
     rows = latest["clusters"].join(people, "cluster_id").join(words, "cluster_id").join(latest["header"])
     return rows.select("cluster_id", "total_opportunities", "with_url", "checksum", "generated_at", big("discovered_k").alias("discovered_k"), big(F.size("explicit_stopwords")).alias("n_stopwords"))
 
 
+@query
+def cluster_sentences_lexicon(spark, folder):
+    """Keywords and sentences both by lemma."""
+    docs = S.opportunities(spark, folder, gaps=False)
+    words = materialise(_lexicon(spark, folder), "lexicon")
+    assigned = S.source_label(S.documents(spark, folder))
+    terms = materialise(summary.cluster_terms(prepare.tokenise(docs, lexicon=words), assigned), "terms")
+    scores = summary.sentence_scores(docs, assigned, terms, lexicon=words)
+    return scores.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("sentences"), big(F.sum("hits")).alias("hits"), big(F.max("hits")).alias("most"))
+
+
+@query
+def nested_members(spark, folder):
+    """Whole records in report order, one row per member and keyword count."""
+    docs, assigned, terms = _summary(spark, folder)
+    keywords = materialise(summary.ranked_keywords(terms), "keywords")
+    none = spark.createDataFrame([], "cluster_id long, rank int, sentence string")
+    table = summary.cluster_table(assigned, keywords.limit(0), none)
+    nested = summary.nested_records(table, keywords, summary.cluster_members(docs, assigned))
+    placed = numbered(nested.withColumn("all", F.lit(0)), ["all"], summary.report_order(), "place")
+    rows = placed.select("place", "cluster_id", big(F.size("keywords")).alias("n_keywords"), F.get("keywords", F.lit(0)).alias("best"), F.posexplode("opportunities").alias("i", "o"))
+    return rows.select(big("place").alias("place"), "cluster_id", "n_keywords", "best", big("i").alias("i"), F.col("o.id").alias("id"))
+
+
 @query
 def report_sentences(spark, folder):
     docs, assigned, terms = _summary(spark, folder)
@@ -651,9 +773,10 @@ def due_outputs(spark, folder):
 def display_time(spark, folder):
     orders = S.table(spark, folder, "orders")
     k = F.col("o_orderkey")
-    text = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
-    text = F.when(k % 3 == 0, F.concat(text, F.lit("+00:00"))).when(k % 3 == 1, F.col("o_orderpriority")).when(k % 5 == 0, None).otherwise(text)
-    return orders.select("o_orderkey", report.display_time(text).alias("shown"))
+    full = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    forms = [full, F.concat(full, F.lit("+00:00")), F.concat(full, F.lit("+05:30")), F.concat(full, F.lit("Z")), F.concat(full, F.lit(".250-0800"))]
+    forms += [F.substring(full, 1, n) for n in (4, 7, 10, 16)] + [F.substring(full, 12, 5), F.date_format("o_orderdate", "yyyyMMdd"), F.col("o_orderpriority"), F.lit(None).cast("string")]
+    return orders.select("o_orderkey", report.display_time(F.get(F.array(*forms), (k % len(forms)).cast("int"))).alias("shown"))
 
 
 # Résumés
@@ -703,7 +826,7 @@ def stale_sections(spark, folder):
 @query
 def section_updates(spark, folder):
     state = resume.mark_in_progress(S.section_status(spark, folder), F.lit("2024-02-01 00:00:00").cast("timestamp"))
-    turns = S.table(spark, folder, "conversations").where("role <> 'system'")
+    turns = S.table(spark, folder, "conversations")
     got = turns.select("conv_id", "turn", F.when(F.length("text") % 5 == 0, " ").otherwise(F.col("text")).alias("response"))
     new = resume.apply_responses(state, got, ["conv_id", "turn"], now())
     return new.select("conv_id", "turn", "status", stamp(F.col("last_updated")).alias("last_updated"), F.md5(F.col("content").cast("binary")).alias("digest"))

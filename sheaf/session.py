@@ -9,9 +9,7 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN_DIR: dict[str, str] = {}
 _SHIPPED: set[str] = set()
-_SPLIT_BYTES = 128 << 20  # the usual size of a scan split
 
 
 def build_session(app: str = "sheaf", master: str | None = None, **conf: str) -> SparkSession:
@@ -36,18 +34,10 @@ def build_session(app: str = "sheaf", master: str | None = None, **conf: str) ->
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    A temporary folder stands in for it in local mode only, where driver and
-    executors share one machine.
+    Where it is unset, a folder in the warehouse stands in, which all executors share as well.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIR:
-        _OWN_DIR[app] = tempfile.mkdtemp(prefix="sheaf-")
-    return _OWN_DIR[app]
+    return folder or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_sheaf_scratch")
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -60,21 +50,27 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(scratch_dir(spark), f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete materialised tables that nothing will read again, as a loop does with those of past rounds."""
+    for table in tables:
+        path = getattr(table, "scratch_path", None)
+        if path:
+            spark = table.sparkSession
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over enough partitions for heavy row-wise work.
+    """Rows dealt out by ``key`` ahead of heavy row-wise work, however the files were cut.
 
-    A small input in few files or row groups would leave most cores idle; its rows
-    are dealt out by ``key``. An input that fills the cores with scan splits
-    anyway stays as it is. Only the sizes known to the planner are looked at.
+    Adaptive execution joins small partitions again.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-    return df if size > 2 * cores * _SPLIT_BYTES else df.repartition(2 * cores, key)
+    return df.repartition(key)
 
 
 def ship_package(spark: SparkSession) -> None:

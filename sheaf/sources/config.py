@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from sheaf.functions.text import compact
 
 
-def selectors(spark: SparkSession, path: str) -> DataFrame:
-    """``(domain, field, selectors)`` of a JSON object domain -> field -> text, list or flag.
+def selectors(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
+    """``(domain, field, selectors)`` of a JSON object (per file, or per line) domain -> field -> text, list or flag.
 
     Single texts become lists of one, so all fields read alike.
     """
-    doc = spark.read.text(path, wholetext=True)
+    doc = spark.read.text(path, wholetext=not by_line)
     domains = doc.select(F.explode(F.from_json("value", "map<string,string>")).alias("domain", "fields"))
     fields = domains.select("domain", F.explode(F.from_json("fields", "map<string,string>")).alias("field", "value"))
     as_list = F.when(F.col("value").startswith("["), F.from_json("value", "array<string>"))

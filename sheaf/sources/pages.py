@@ -11,6 +11,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from sheaf.functions.html import compile_selector
 from sheaf.session import ship_package, spread
 
 _CARDS = "page_id bigint, pos int, key string, texts array<string>, spans array<string>, html_length int"
@@ -29,6 +30,9 @@ def raw_cards(
     Looks at the first container of a page; pages without one give no rows.
     """
 
+    for selector in (container, card, text_tag, span_tag):
+        compile_selector(selector)  # a bad one fails here, not in the tasks
+
     def scan(batches):
         from sheaf.functions import html as H
 
@@ -54,6 +58,8 @@ def selector_texts(pages: DataFrame, selectors: Sequence[str]) -> DataFrame:
     wanted = list(selectors)
     if not wanted:
         raise ValueError("at least one selector is needed")
+    for selector in wanted:
+        compile_selector(selector)
 
     def scan(batches):
         from sheaf.functions import html as H

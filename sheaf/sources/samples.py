@@ -26,8 +26,8 @@ def source_label(docs: DataFrame) -> DataFrame:
     return docs.select("doc_pos", F.regexp_extract("source", r"(\d+)", 1).cast("bigint").alias("cluster_id"))
 
 
-def opportunities(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as opportunities, labels as their status; some fields left out on purpose."""
+def opportunities(spark: SparkSession, folder: str, gaps: bool = True) -> DataFrame:
+    """Documents as opportunities, labels as their status; with ``gaps``, some descriptions are left for a backfill."""
     docs = table(spark, folder, "documents")
     labels = table(spark, folder, "labels")
     i = F.col("doc_id")
@@ -38,8 +38,8 @@ def opportunities(spark: SparkSession, folder: str) -> DataFrame:
     return docs.join(labels, "doc_id", "left").select(
         i.alias("doc_pos"),
         F.concat(F.lit("op-"), i.cast("string")).alias("id"),
-        F.substring(F.get(F.split("text", "\n"), F.lit(0)), 1, 60).alias("designation"),
-        F.when(i % 7 != 0, F.col("text")).alias("job_description"),
+        F.get(F.split("text", "\n"), F.lit(0)).alias("designation"),
+        (F.when(i % 7 != 0, F.col("text")) if gaps else F.col("text")).alias("job_description"),
         F.col("lang").alias("location"),
         F.when(i % 11 == 0, "").otherwise(F.col("source")).alias("company_name"),
         F.when(i % 97 != 0, url).alias("source_url"),
