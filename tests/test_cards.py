@@ -142,6 +142,12 @@ def test_selectors(selector, hit):
     assert (next(H.select(H.parse(PAGE), selector), None) is not None) == hit
 
 
+@pytest.mark.parametrize("selector", ["div.a > p", "div p", "div.a, p", "", "div:first-child", "p[]"])
+def test_selectors_beyond_the_simple_ones_raise(selector):
+    with pytest.raises(ValueError):
+        H.compile_selector(selector)
+
+
 def test_selector_texts(spark):
     pages = spark.createDataFrame([(1, "u", PAGE)], "page_id bigint, url string, html string")
     assert selector_texts(pages, ["main", "span"]).first().found == [None, "x"]

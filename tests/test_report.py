@@ -47,10 +47,12 @@ def test_opportunity_lines(spark):
 
 
 def test_display_time(spark):
-    values = ["2024-01-02T03:04:05+00:00", "2024-01-02T03:04:05", "soon", "", None]
+    values = ["2024-01-02T03:04:05+00:00", "2024-01-02T03:04:05", "soon", "", None, "2024-01-02T10:00:00+05:30", "2024", "2024-01", "12:30", "20240101"]
+    values += ["2024-13-01", "2024-01-02 03", "2024-01-02T03:04:05.123456Z", "2024-01-02T0304-0800", "2024-01-02T03:04:05 and more"]
     df = spark.createDataFrame([(v,) for v in values], "t string")
     got = [r.o for r in df.select(report.display_time(F.col("t")).alias("o")).collect()]
-    assert got == ["2024-01-02 03:04:05 UTC", "2024-01-02 03:04:05 ", "soon", "Unknown", "Unknown"]
+    expected = ["2024-01-02 03:04:05 UTC", "2024-01-02 03:04:05 ", "soon", "Unknown", "Unknown", "2024-01-02 10:00:00 UTC+05:30", "2024", "2024-01", "12:30", "2024-01-01 00:00:00 "]
+    assert got == expected + ["2024-13-01", "2024-01-02 03:00:00 ", "2024-01-02 03:04:05 UTC", "2024-01-02 03:04:00 UTC-08:00", "2024-01-02T03:04:05 and more"]
 
 
 DOCS = [
@@ -110,10 +112,25 @@ def test_cluster_run(spark, tmp_path):
     saved.save_clusters(result, path, "20240103")
     again = saved.read_clusters(spark, path)
     assert again["clusters"].count() == 2
-    assert spark.read.parquet(path + "/runs/clusters").groupBy("run_date").count().count() == 2
+    assert saved.read_clusters(spark, path, "20240102")["clusters"].count() == 2
+    with pytest.raises(FileNotFoundError):
+        saved.read_clusters(spark, path, "20240104")
+    (tmp_path / "out" / "run-000000000009").mkdir()  # a run that never finished
+    assert saved.read_clusters(spark, path)["clusters"].count() == 2
     assert saved.last_generated_at(again["header"]) == dt.datetime(2024, 1, 2)
 
 
+def test_import_clusters(spark, tmp_path):
+    (tmp_path / "clusters.json").write_text(
+        '{"generated_at": "2024-01-02", "discovered_k": 1, "clusters": [{"cluster_id": 3, "total_opportunities": 2, "keywords": ["a", "b"], '
+        '"keyword_sentences": ["s"], "opportunities": [{"id": "x", "designation": null, "company_name": "C", "url": "u"}]}]}'
+    )
+    got = saved.import_clusters(spark, str(tmp_path / "clusters.json"))
+    assert [tuple(r) for r in got["keywords"].collect()] == [(3, 1, "a"), (3, 2, "b")]
+    assert got["header"].first().discovered_k == 1 and got["clusters"].first().keyword_sentences == ["s"]
+    assert got["opportunities"].first().opportunity.id == "x"
+
+
 def test_last_generated_at(spark):
     df = spark.createDataFrame([("2024-01-01T05:00:00+02:00",), ("junk",), (None,)], "generated_at string")
     assert saved.last_generated_at(df) == dt.datetime(2024, 1, 1, 3)

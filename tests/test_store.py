@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sheaf.operators import backfill, store, tracker
 from sheaf.plans import pipeline
+from sheaf.session import materialise
 from sheaf.sources import records
 from sheaf.streaming import status
 
@@ -26,38 +27,45 @@ def frame(spark, rows, extra=""):
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema + (f", {extra}" if extra else ""))
 
 
-def plain_merge(old, new):
-    out = {}
-    for name in FIELDS:
-        a, b = old[name], new[name]
-        if name in store.USER_FIELDS and b is not None:
-            out[name] = b
-        else:
-            def missing(v):
-                return v is None or (isinstance(v, str) and not v.strip())
+def as_rows(df):
+    return {r.source_url: {n: r[n] for n in FIELDS} for r in df.collect()}
 
-            out[name] = b if missing(a) and not missing(b) else a
-    return out
 
+def stored(spark, *rows):
+    return store.with_key(frame(spark, rows))
 
-def plain_upsert(existing, batch):
-    import hashlib
 
-    have = {r["source_hash"]: r for r in existing if r["source_hash"]}
-    for r in batch:
-        if not r["source_url"]:
-            continue
-        r = dict(r, source_hash=hashlib.sha256(r["source_url"].encode()).hexdigest())
-        old = have.get(r["source_hash"])
-        have[r["source_hash"]] = plain_merge(old, r) if old else r
-    return have
+def batch(spark, *rows):
+    return frame(spark, [r | {"pos": i} for i, r in enumerate(rows)], "pos bigint")
 
 
-def as_rows(df):
-    return {r.source_hash: {n: r[n] for n in FIELDS} for r in df.collect()}
+MERGES = [
+    # field, stored, arriving, result
+    ("designation", None, "Lead", "Lead"),
+    ("designation", " \t", "Lead", "Lead"),
+    ("designation", "Head", "Lead", "Head"),
+    ("designation", "Head", None, "Head"),
+    ("designation", "", " ", ""),
+    ("location", "x", "", "x"),
+    ("relevant", None, True, True),
+    ("relevant", True, False, False),
+    ("relevant", True, None, True),
+    ("applied", True, False, False),
+    ("resume_version_used", "v1", "v2", "v2"),
+    ("resume_version_used", "v1", None, "v1"),
+    ("resume_version_used", "v1", "", ""),
+    ("applied_date", T0, None, T0),
+]
+
+
+def test_merge_rules(spark):
+    old = [record(f"u{i}") | {f: a} for i, (f, a, _, _) in enumerate(MERGES)]
+    new = [record(f"u{i}") | {f: b} for i, (f, _, b, _) in enumerate(MERGES)]
+    got = as_rows(store.upsert(stored(spark, *old), batch(spark, *new)))
+    assert [(i, f, got[f"u{i}"][f]) for i, (f, *_) in enumerate(MERGES)] == [(i, f, r) for i, (f, _, _, r) in enumerate(MERGES)]
 
 
-def test_upsert_matches_sequential_merge(spark):
+def test_upsert_of_a_batch_is_one_by_one(spark):
     rng = random.Random(3)
     pick = lambda *v: rng.choice(v)
 
@@ -71,21 +79,20 @@ def test_upsert_matches_sequential_merge(spark):
             resume_version_used=pick(None, "", "v1"),
         ) | {"id": f"id{i}", "applied": pick(True, False)}
 
-    existing = list(plain_upsert([], [some(i) for i in range(3)]).values())
-    existing.append(record("lost") | {"source_hash": None})
-    batch = [some(i) for i in range(10, 40)]
-    merged = store.upsert(frame(spark, existing), frame(spark, [r | {"pos": i} for i, r in enumerate(batch)], "pos bigint"))
-    expected = plain_upsert(existing, batch)
-    assert as_rows(merged) == expected
-    again = store.upsert(merged, frame(spark, [r | {"pos": i} for i, r in enumerate(batch)], "pos bigint"))
-    assert as_rows(again) == expected
+    existing = materialise(store.upsert(stored(spark, record("u1")), batch(spark, *[some(i) for i in range(3)])), "test")
+    rows = [some(i) for i in range(10, 22)]
+    whole = as_rows(store.upsert(existing, batch(spark, *rows)))
+    single = existing
+    for r in rows:
+        single = materialise(store.upsert(single, batch(spark, r)), "test")
+    assert as_rows(single) == whole
+    assert as_rows(store.upsert(single, batch(spark, *rows))) == whole
+    assert set(whole) <= {"u1", "u2", "u3", " "}
 
 
 def test_unapply_keeps_the_date_and_rescrape_resets(spark):
-    applied = record("u", applied_date=T0) | {"applied": True}
-    old = list(plain_upsert([], [applied]).values())
-    new = frame(spark, [record("u") | {"pos": 0}], "pos bigint")
-    row = store.upsert(frame(spark, old), new).first()
+    old = stored(spark, record("u", applied_date=T0) | {"applied": True})
+    row = store.upsert(old, batch(spark, record("u"))).first()
     assert row.applied is False and row.applied_date == T0
 
 
@@ -116,8 +123,12 @@ def test_snapshots(spark, tmp_path):
     table.write(frame(spark, [record("a")]), "t1")
     table.write(table.read().unionByName(frame(spark, [record("b")])))
     assert table.read().count() == 2 and table.has("t1") and not table.has("t2")
+    assert table.write(frame(spark, []), "t1").endswith("snapshot-000000000001-t1")  # the same input again: skipped
+    assert table.read().count() == 2
     (tmp_path / "store" / "snapshot-000000000009").mkdir()  # a write that never finished
     assert table.read().count() == 2
+    table.expire(1)
+    assert table.read().count() == 2 and not table.has("t1")
 
 
 def test_tracker(spark):
@@ -161,14 +172,32 @@ def test_stream_equals_batch_for_any_batching(spark, tmp_path):
 
     table = records.SnapshotStore(spark, str(tmp_path / "store"))
     table.write(frame(spark, [record("u") | {"source_hash": "k0"}, record("v") | {"source_hash": "zz"}]))
-    once = as_rows(status.current(table.read(), log.read()))
-    status.compact(table, log)
-    assert as_rows(table.read()) == once
-    assert as_rows(status.current(table.read(), log.read())) == once
+    by_hash = lambda df: {r.source_hash: r.asDict() for r in df.collect()}
+    once = by_hash(status.live(table, log))
+    assert status.compact(table, log) and log.batches() == []
+    assert status.compact(table, log) is None
+    assert by_hash(table.read()) == by_hash(status.live(table, log)) == once
     by_key = {r[0]: r for r in expected}
     assert once["k0"]["applied"] == by_key["k0"][2] and once["zz"]["applied"] is False
 
 
+def test_folded_clicks_do_not_come_back(spark, tmp_path):
+    table, log = records.SnapshotStore(spark, str(tmp_path / "store")), status.ChangeLog(spark, str(tmp_path / "log"))
+    table.write(stored(spark, record("u")))
+    key = table.read().first().source_hash
+    events = spark.createDataFrame([(1, T0, key, True)], "event_id bigint, ts timestamp, key string, applied boolean")
+    log.append(status.updates(events, F.col("key"), F.lit(None).cast("boolean"), F.col("applied")), 0)
+    assert status.live(table, log).first().applied is True
+    kept = materialise(log.read(), "test")
+    status.compact(table, log)
+    log.append(kept, 0)  # as if the run had died before it trimmed the log
+    table.write(store.upsert(table.read(), batch(spark, record("u"))))
+    assert status.live(table, log).first().applied is False
+    log.append(kept, 1)  # a later click counts
+    assert status.live(table, log).first().applied is True
+    assert status.compact(table, log) and log.batches() == []
+
+
 def test_backfill(spark, tmp_path):
     long_text = "word " * 30
     pages = [
@@ -216,3 +245,19 @@ def test_collect(spark, tmp_path):
     with pytest.raises(RuntimeError, match="a.com"):
         pipeline.collect(table, sources, conf, captured.where("source like '%b.com'"), now)
     assert table.read().count() == 1
+
+
+def test_collect_folds_clicks_first_and_reads_pages(spark, tmp_path):
+    table, log = records.SnapshotStore(spark, str(tmp_path / "store")), status.ChangeLog(spark, str(tmp_path / "log"))
+    card = "<li componentkey='{k}'><p>{t}</p><p>Acme</p><p>Rome</p><span>Posted on May 1, 2026</span></li>"
+    html = "<ul>" + card.format(k="a", t="Lead") + card.format(k="a", t="Again") + card.format(k="b", t="Head") + "</ul>"
+    pages = spark.createDataFrame(
+        [(1, "https://a.com", 1, "https://a.com/?currentJobId=5", html), (2, "https://b.com", 1, "https://b.com/?currentJobId=6", html)],
+        "page_id bigint, source string, page_num int, page_url string, html string",
+    )
+    conf = spark.createDataFrame([("a.com", "container", ["ul"])], "domain string, field string, selectors array<string>")
+    now = F.lit("2030-01-01").cast("timestamp")
+    pipeline.collect_pages(table, pages, conf, now, "li")
+    assert [(r.designation, r.company_name, r.date_posted) for r in table.read().collect()] == [("Lead", "Acme", dt.datetime(2026, 5, 1))]
+    with pytest.raises(ValueError):
+        pipeline.collect_pages(table, pages, conf.limit(0), now, "li")
