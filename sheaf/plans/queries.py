@@ -550,18 +550,17 @@ def copies(spark, folder):
 @query
 def nearest_documents(spark, folder):
     corpus = vectors.build_corpus(saved(spark, folder))
-    n = corpus.leaves.count()
     one = {"grp": F.lit(0), "scale": F.lit(1.0)}
-    v = corpus.leaves.select(F.col("leaf").alias("vid"), F.col("leaf").alias("own"), F.lit(0.0).alias("floor"), "vec").withColumns(one)
+    v = corpus.leaves.select(F.col("leaf").alias("vid"), F.col("leaf").alias("own"), "vec").withColumns(one)
     t = corpus.leaves.select(F.col("leaf").alias("cid"), F.col("leaf").alias("kin"), "vec").withColumns(one)
-    best = tiles.best_match(v, t, n, n).where("cid is not null")
+    best = tiles.best_in_bands(v, t)
     return best.select(F.col("vid").alias("leaf"), F.round(1.0 - F.col("sim"), 6).alias("distance"))
 
 
 @query
 def cosine_pairs(spark, folder):
     corpus = vectors.build_corpus(saved(spark, folder))
-    pairs = tiles.similar_pairs(corpus.leaves, 0.25, corpus.leaves.count())
+    pairs = tiles.similar_pairs(corpus.leaves, 0.25)
     return pairs.select("a", "b", F.round(1.0 - F.col("sim"), 6).alias("distance"))
 
 
