@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from sheaf.functions.cards import NOISE_PATTERNS
 from sheaf.functions.stopwords import NUMBER_WORDS, english_stop_words
-from sheaf.operators.resume import HEADER_PROMPT
+from sheaf.operators.resume import HEADER_PROMPT, SECTIONS
 from sheaf.plans import queries as Q
 from sheaf.sources import samples as S
 
@@ -355,6 +355,34 @@ PROMPTS = f"""WITH {OPP}, {RESUME}, {SECTION_ROWS},
         || chr(10) || chr(10) || 'JOB DESCRIPTION:' || chr(10) || job_description AS prompt
       FROM res JOIN opp ON conv_id = doc_pos WHERE job_description <> '')"""
 
+def _every_job() -> str:
+    """The shipped sections: headers, prompts and labels are values shared with the engine, rules are not."""
+    shipped = list(enumerate(SECTIONS))
+    headed = [x for _, x in shipped if x.header]
+    gap, line = "chr(10) || chr(10)", "chr(10)"
+    body = " || ".join(f"{gap} || {lit('# ' + x.header)} || {line} || coalesce(max(text) FILTER (WHERE turn = {i}), '')" for i, x in enumerate(headed))
+
+    def cut(x) -> str:
+        return section(x.header, x.until) if x.until else strip(f"substr(body, strpos(body, {lit('# ' + x.header)}))")
+
+    asked = " UNION ALL ".join(
+        f"SELECT doc_pos AS job_id, {lit(x.name)} AS section, {i}::BIGINT AS ord, {lit(x.header)} AS header, {lit(x.prompt)} || {gap} || {lit('ORIGINAL ' + x.label + ':')} || {line} || "
+        f"{cut(x)} || {gap} || 'JOB DESCRIPTION:' || {line} || whole AS prompt FROM cv, opp WHERE whole <> ''"
+        for i, x in shipped
+        if x.prompt
+    )
+    fixed = " UNION ALL ".join(f"SELECT {i} AS ord, {cut(x) if x.header else strip(f'left(body, {_FIRST} - 1)')} AS part FROM cv" for i, x in shipped if not x.prompt)
+    return f"""WITH {OPP}, cv AS (SELECT 'conv 0' || {body} AS body FROM conversations WHERE conv_id = 0),
+    asked AS ({asked}), fixed AS ({fixed}),
+    part AS (
+      SELECT job_id, ord, '# ' || header || {line} || CASE WHEN length(prompt) % 13 = 0 THEN '' ELSE lower(prompt) END AS part FROM asked
+      UNION ALL SELECT job_id, fixed.ord, part FROM (SELECT DISTINCT job_id FROM asked), fixed),
+    done AS (SELECT job_id, md5(string_agg(part, {gap} ORDER BY ord)) AS resume_digest FROM part WHERE part <> '' GROUP BY 1)
+    SELECT job_id, section, ord, md5(prompt) AS digest, resume_digest FROM asked JOIN done USING (job_id)"""
+
+
+EVERY_JOB = _every_job()
+
 _DIRTY = "text"
 for _clean, _dirty in S.DIRT.items():
     _DIRTY = f"replace({_DIRTY}, {lit(_clean)}, {lit(_dirty)})"
@@ -597,6 +625,7 @@ def oracle() -> dict[str, str]:
             FROM lab JOIN c USING (cluster_id) LEFT JOIN k USING (cluster_id)""",
         "resume_sections": f"WITH {RESUME}, {SECTION_ROWS} SELECT resume_id, ord, section, body FROM secs",
         "resume_prompts": f"{PROMPTS} SELECT prompt_id, resume_id, job_id, section, ord, md5(prompt) AS digest FROM prm",
+        "resume_every_job": EVERY_JOB,
         "header_prompts": f"""WITH {RESUME}, p AS (SELECT resume_id, {lit(before)} || body || {lit(after)} AS prompt FROM res)
             SELECT resume_id, length(prompt) AS n_chars, md5(prompt) AS digest FROM p""",
         "resume_assembly": f"""{PROMPTS},

@@ -804,6 +804,22 @@ def resume_prompts(spark, folder):
     return prompts.select("prompt_id", "resume_id", "job_id", "section", big("ord").alias("ord"), F.md5(F.col("prompt").cast("binary")).alias("digest"))
 
 
+@query
+def resume_every_job(spark, folder):
+    """One résumé with the shipped sections, tailored to every description: prompts, and the résumés put together."""
+    turns = S.table(spark, folder, "conversations").where("conv_id = 0")
+    headers = [s.header for s in resume.SECTIONS if s.header]
+    said = [F.coalesce(F.max(F.when(F.col("turn") == i, F.col("text"))), F.lit("")) for i in range(len(headers))]
+    parts = [x for h, t in zip(headers, said) for x in (F.lit(f"\n\n# {h}\n"), t)]
+    one = turns.agg(F.concat(F.lit("conv 0"), *parts).alias("body")).select(F.lit("conv").alias("resume_id"), "body")
+    jobs = S.opportunities(spark, folder, gaps=False).select(F.col("doc_pos").alias("job_id"), "job_description")
+    prompts = resume.prompt_rows(one, jobs)
+    whole = resume.assemble(one, prompts, _responses(prompts))
+    sizes = whole.select("job_id", F.md5(F.col("resume").cast("binary")).alias("resume_digest"))
+    rows = prompts.join(sizes, "job_id")
+    return rows.select("job_id", "section", big("ord").alias("ord"), F.md5(F.col("prompt").cast("binary")).alias("digest"), "resume_digest")
+
+
 @query
 def header_prompts(spark, folder):
     rows = resume.header_prompts(S.resumes(spark, folder))
