@@ -12,6 +12,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from sheaf.session import ship_package
 
 TRAIN_DOCS = 500  # labelled texts per language at most, chosen by the hash of their ids
-GRAMS = (1, 2, 3, 4)
+GRAMS = (2, 3)
 FEATURES = 60_000  # n-grams kept per language at most, by count
 SWITCH = 12.0  # price of a change of language, in nats
 SHARE = 0.005  # part of a language's letters that a script must have to count as its own
@@ -50,14 +51,15 @@ SCRIPTS = {
 WORD = re.compile(r"[^\W\d_]+")
 
 
+@lru_cache(maxsize=1 << 16)
+def _script(char: str) -> str | None:
+    code = ord(char)
+    return next((name for name, ranges in SCRIPTS.items() if any(lo <= code <= hi for lo, hi in ranges)), None)
+
+
 def script_of(word: str) -> str:
     """Script of a word's first character in a known range, else ``other``."""
-    for c in word:
-        code = ord(c)
-        for name, ranges in SCRIPTS.items():
-            if any(lo <= code <= hi for lo, hi in ranges):
-                return name
-    return "other"
+    return next((s for s in map(_script, word) if s), "other")
 
 
 def grams_of(word: str) -> list[str]:
@@ -73,16 +75,24 @@ class Model:
     scripts: dict[str, np.ndarray]  # script: which languages use it
     switch: float = SWITCH
 
-    def word(self, word: str) -> np.ndarray:
-        """Scores of one word, a row per language; equal for all where its script belongs to none."""
+    def words(self, words: list[str]) -> np.ndarray:
+        """Scores of words, a row each; equal for all languages where a word's script belongs to none."""
         get, unseen = self.grams.get, len(self.grams)
-        total = self.scores[[get(g, unseen) for g in grams_of(word)]].sum(axis=0)
-        total /= len(GRAMS)  # n-grams overlap: each character is seen once per length
-        mask = self.scripts.get(script_of(word))
-        if mask is None or not mask.any():
-            return np.zeros(len(self.langs), dtype=np.float32)
-        total = np.where(mask, total, total[mask].min() - 2 * self.switch)
-        return (total - total.max()).astype(np.float32)
+        rows, sizes = [], []
+        for w in words:
+            found = [get(g, unseen) for g in grams_of(w)]
+            rows += found
+            sizes.append(len(found))
+        starts = np.cumsum([0, *sizes[:-1]])
+        # n-grams overlap: each character is seen once per length
+        total = np.add.reduceat(self.scores[rows], starts, axis=0) / len(GRAMS)
+        none = np.zeros(len(self.langs), bool)
+        mask = np.array([self.scripts.get(script_of(w), none) for w in words])
+        known = mask.any(axis=1)
+        least = np.where(mask, total, np.inf).min(axis=1, keepdims=True)
+        total = np.where(mask, total, least - 2 * self.switch)
+        total -= total.max(axis=1, keepdims=True, initial=-np.inf, where=np.isfinite(total))
+        return np.where(known[:, None], total, 0.0).astype(np.float32)
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = TRAIN_DOCS, features: int = FEATURES, switch: float = SWITCH) -> Model:
@@ -149,14 +159,16 @@ class Labeller:
     def _ids(self, words: list[str]) -> np.ndarray:
         get = self.ids.get
         found = [get(w) for w in words]
-        for i in [i for i, k in enumerate(found) if k is None]:
-            k = get(words[i])
-            if k is None:
-                k = self.ids[words[i]] = len(self.ids)
-                if k >= len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                self.table[k] = self.model.word(words[i])
-            found[i] = k
+        missing = [i for i, k in enumerate(found) if k is None]
+        if missing:
+            new = list(dict.fromkeys(words[i] for i in missing))
+            base = len(self.ids)
+            self.ids.update(zip(new, range(base, base + len(new)), strict=True))
+            while base + len(new) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[base : base + len(new)] = self.model.words(new)
+            for i in missing:
+                found[i] = get(words[i])
         return np.array(found, dtype=np.int64)
 
     def _steady(self, scores: np.ndarray) -> int | None:
