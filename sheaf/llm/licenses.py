@@ -10,8 +10,6 @@ nearest directory above them that has a licence file. All of it is DataFrame wor
 from __future__ import annotations
 
 import math
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,7 +61,7 @@ def _heavy(weights: dict[str, float], cosine: float) -> list[str]:
     """
     total = sum(w * w for w in weights.values())
     rest, out = total, []
-    for t, w in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
+    for t, w in sorted(weights.items(), key=lambda x: (-x[1], -len(x[0]), x[0])):
         if rest < cosine * cosine * total:
             break
         out.append(t)
@@ -71,9 +69,10 @@ def _heavy(weights: dict[str, float], cosine: float) -> list[str]:
     return out
 
 
-def _holds(text: Column, needles: list[str]) -> Column:
-    """The lower-case text holds one of the needles; it is lower-cased once."""
-    return F.exists(F.array(F.lower(text)), lambda low: reduce(or_, (F.contains(low, F.lit(w)) for w in needles)))
+def _near(texts: DataFrame, needles: list[str]) -> DataFrame:
+    """``(path, digest, terms)`` of texts with one of the needles among their words, which are worked out once."""
+    some = F.filter(F.array(terms(F.col("text"))), lambda ts: F.arrays_overlap(ts, F.array(*map(F.lit, needles))))
+    return texts.select("path", "digest", F.explode(some).alias("terms"))
 
 
 def best_notices(files: DataFrame, templates: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -95,10 +94,8 @@ def best_notices(files: DataFrame, templates: DataFrame, cosine: float = COSINE)
     idf = {t: math.log((n + 1) / (counts.get(t, 0) + 1)) + 1 for t in vocabulary}
     unseen = math.log(n + 1) + 1
     needles = sorted({t for _, ts in listed for t in _heavy({t: ts.count(t) * idf[t] for t in ts}, cosine)})
-    near = own.where(_holds(F.col("text"), needles))
-    whole = near.where(F.regexp_extract("path", r"([^/]*)$", 1).rlike(FILE_NAMES))
-    units = _lines(near).where(_holds(F.col("text"), needles)).union(whole)
-    units = materialise(units.select("path", "digest", terms(F.col("text")).alias("terms")), "licence-lines")
+    whole = own.where(F.regexp_extract("path", r"([^/]*)$", 1).rlike(FILE_NAMES))
+    units = materialise(_near(_lines(own), needles).union(_near(whole, needles)), "licence-lines")
     # copies of a notice are one vector however many files hold it
     distinct = units.select("terms").distinct().withColumn("line", F.xxhash64("terms"))
     known, weight = F.array_intersect("terms", words), F.create_map(*(x for t in vocabulary for x in (F.lit(t), F.lit(idf[t]))))
