@@ -219,3 +219,20 @@ def test_candidates():
     assert secretscan.candidates("plain words only") == []
     text = "api_key: 'ghp_" + "a1B2" * 9 + "'"
     assert [(text[a:b], r) for a, b, r in secretscan.candidates(text)] == [("ghp_" + "a1B2" * 9, "github")]
+
+
+def test_values_of_letters_alone_are_scanned(spark):
+    """Texts without any digit, '=' or ':'."""
+    values = {
+        "aws": ["AKIA" + "QWERTYUIOPASDFGH", "ASIA" + "QWERTYUIOPASDFGH"], "github": [f"gh{c}_" + "aBcD" * 9 for c in "pousr"], "slack": [f"xox{c}-abcdefghijkl" for c in "abprs"],
+        "google": ["AIza" + "aBcDe" * 7], "jwt": ["eyJhbGciOiJIUz.eyJzdWIiOiJh.SflKxwRJSM"], "pem": ["-----BEGIN PRIVATE KEY-----\nabcd\n-----END PRIVATE KEY-----"],
+    }
+    assert set(values) == set(secretscan.ISSUED)
+    rows = [(rule, v, f"see {v} there") for rule, vs in values.items() for v in vs]
+    df = spark.createDataFrame(rows, "rule string, value string, text string")
+    model = secretscan.Model(secretscan.language([], {}, 0.5), secretscan.Forest([]))
+    got = df.select("*", secretscan.scan(spark, model, F.col("text"), F.lit("p")).alias("got"), secretscan.redact(spark, model, F.col("text"), F.lit("p")).alias("masked")).collect()
+    assert [[(r.text[c.start : c.end], c.rule) for c in r.got] for r in got] == [[(r.value, r.rule)] for r in got]
+    assert {r.masked for r in got} == {"see [SECRET] there"}
+    learnt = secretscan.train(df.select(F.col("text"), F.lit("p").alias("source")))
+    assert learnt.known.words  # such texts also teach
