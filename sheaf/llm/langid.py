@@ -172,13 +172,15 @@ class Labeller:
         return np.array(found, dtype=np.int64)
 
     def _steady(self, scores: np.ndarray) -> int | None:
-        """The language that holds throughout, if no stretch of words gains more than one switch by leaving it.
+        """The language that holds throughout, if no stretch of words gains more by leaving it than its part of the switches.
 
-        A path that leaves it for m languages in a row gains at most m switches and pays more.
+        Half of each switch is charged to the stretch on either side: one inside the text pays a whole switch, one at the
+        start or the end of it half a switch, and one that is the whole text nothing, but then gains nothing either.
         """
-        main = int(scores.sum(axis=0).argmax())
+        main = int(scores.sum(axis=0, dtype=np.float64).argmax())
         gain = np.vstack([np.zeros(scores.shape[1]), np.cumsum(scores - scores[:, main : main + 1], axis=0, dtype=np.float64)])
-        return main if (gain - np.minimum.accumulate(gain, axis=0)).max() <= self.model.switch else None
+        inside, ends = (gain - np.minimum.accumulate(gain, axis=0)).max(), max(gain.max(), (gain[-1] - gain).max())
+        return main if inside <= self.model.switch and ends <= self.model.switch / 2 else None
 
     def paths(self, texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
         """Words and best language path of each text. Viterbi takes all texts that may switch side by side."""

@@ -57,6 +57,26 @@ def test_viterbi_matches_plain_search():
         assert value(path.astype(int)) == pytest.approx(best.max(), abs=1e-3)
 
 
+def test_halves_about_a_third_language():
+    """A path that never uses the language of the highest sum has one switch less than stretches."""
+    third = np.repeat([[0, -20, -3.3], [-20, 0, -3.3]], 3, axis=0)
+    rng = np.random.default_rng(1)
+    cases = [third] + [np.repeat(-rng.exponential(4, (3, 3)), 4, axis=0) for _ in range(200)]
+    for scores in cases:
+        labeller = langid.Labeller(langid.Model(["a", "b", "c"], {}, np.zeros((1, 3)), {}, 12.0))
+        words = [f"w{chr(97 + i)}" for i in range(len(scores))]
+        labeller.ids, labeller.table = {w: i for i, w in enumerate(words)}, scores.astype(np.float32)
+        path = labeller.paths([" ".join(words)])[0][1].astype(int)
+        best = scores[0]
+        for row in scores[1:]:
+            best = np.maximum(best, best.max() - 12.0) + row
+        value = scores[np.arange(len(scores)), path].sum() - 12.0 * (np.diff(path) != 0).sum()
+        assert value == pytest.approx(best.max(), abs=1e-3)
+        if scores is third:
+            assert path.tolist() == [0, 0, 0, 1, 1, 1]
+            assert [x["lang"] for x in labeller.label(" ".join(words), words, path)["spans"]] == ["a", "b"]
+
+
 def test_language_without_labels(spark):
     df = spark.createDataFrame([(1, "text here", None), (2, None, "en")], "doc_id long, text string, lang string")
     model = langid.train(df)
