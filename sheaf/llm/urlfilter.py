@@ -39,10 +39,13 @@ def intervals(entries: DataFrame) -> DataFrame:
 
     ``entries (list, pattern, action, listed_at)``. Of several changes of a pattern at one instant the strictest holds
     (block, then allow, then remove). ``until`` is null while a change still holds. Removals end an interval and open none.
+    Hosts of patterns are lower-cased, paths keep their case.
     """
+    host = F.substring_index("pattern", "/", 1)
+    pattern = F.concat(F.lower(host), F.col("pattern").substr(F.length(host) + 1, F.length("pattern")))
     severity = "CASE action WHEN 'block' THEN 2 WHEN 'allow' THEN 1 ELSE 0 END"
     sound = entries.where(F.col("pattern").isNotNull() & F.col("listed_at").isNotNull() & F.col("action").isin(*ACTIONS))
-    log = sound.select(F.coalesce("list", F.lit("")).alias("list"), F.lower("pattern").alias("pattern"), "listed_at", F.expr(severity).alias("act"))
+    log = sound.select(F.coalesce("list", F.lit("")).alias("list"), pattern.alias("pattern"), "listed_at", F.expr(severity).alias("act"))
     log = log.groupBy("list", "pattern", "listed_at").agg(F.max("act").alias("act"))
     log = materialise(numbered(log, ["list", "pattern"], [F.col("listed_at")], "n"), "url-log")
     after = log.select("list", "pattern", (F.col("n") - 1).alias("n"), F.col("listed_at").alias("until"))

@@ -54,6 +54,16 @@ def test_url_filter_against_loops(spark):
         assert r.blocked == (best[1] == 2), r
 
 
+def test_url_filter_capitals(spark):
+    """Hosts are the same in any case, paths are not."""
+    entries = [("l", "H.org/Private", "block", day(1)), ("l", "h.ORG/Private/Open", "allow", day(1)), ("l", "Whole.COM", "block", day(1))]
+    urls = {"http://h.org/Private/x": True, "http://H.ORG/Private": True, "http://h.org/private": False, "http://h.org/Private/Open/1": False, "http://h.org/Private/open": True, "http://whole.com/A": True, "http://h.org": False}
+    captures = spark.createDataFrame([(i, u, day(2)) for i, u in enumerate(urls)], "page_id long, url string, fetched_at timestamp")
+    out = urlfilter.filter_captures(captures, spark.createDataFrame(entries, "list string, pattern string, action string, listed_at timestamp")).collect()
+    assert {r.url: r.blocked for r in out} == urls
+    assert {r.pattern for r in out if r.blocked} == {"h.org/Private", "whole.com"}
+
+
 @pytest.mark.parametrize("empty", ["captures", "entries"])
 def test_url_filter_empty(spark, empty):
     captures = spark.createDataFrame([(1, "http://a.com", day(0))], "page_id long, url string, fetched_at timestamp")
