@@ -139,6 +139,15 @@ class Tagger:
                 state = np.where(t < lengths, back[rows, t, state], state)
         return path
 
+    def margin(self, e: np.ndarray, path: np.ndarray, start: int, end: int) -> float:
+        """How much more a path scores with its classes from ``start`` to ``end`` than with the first class in their place."""
+        a, rows = self.transitions, np.arange(start, end)
+        lo, hi = max(0, start - 1), min(len(path), end + 1)
+        own, none = path[lo:hi].astype(np.int64), path[lo:hi].astype(np.int64)
+        none[start - lo : end - lo] = 0
+        steps = a[own[:-1], own[1:]].sum() - a[none[:-1], none[1:]].sum()
+        return float((e[rows, path[start:end]] - e[rows, 0]).sum() + steps)
+
     def fit(self, ids: np.ndarray, y: np.ndarray, updates: int = 240, batch: int = 48, rate: float = 0.01) -> list[float]:
         """Adam over shuffled batches of equal windows, so many updates at least; padding carries the first class. Returns the loss per epoch."""
         rng, step, losses = np.random.default_rng(self.seed), 0, []
@@ -181,7 +190,12 @@ def windows_of(length: int) -> list[int]:
 
 
 def decode(tagger: Tagger, regions: list[str]) -> list[np.ndarray]:
-    """One class path per region of any length.
+    """One class path per region of any length."""
+    return [path for path, _ in decode_scored(tagger, regions)]
+
+
+def decode_scored(tagger: Tagger, regions: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """One class path per region of any length, with the class scores of its characters.
 
     Windows are scored each for itself; where they overlap their scores are averaged, the middle of a window weighing more
     than its ends, and one Viterbi pass over the whole region reconciles them.
@@ -224,4 +238,4 @@ def decode(tagger: Tagger, regions: list[str]) -> list[np.ndarray]:
         for k, path in enumerate(tagger.best(e, lengths)):
             out[part[k]] = path[: lengths[k]]
         lo = hi
-    return out
+    return list(zip(out, merged, strict=True))

@@ -174,6 +174,34 @@ def test_personal_data_edges(spark, tagger):
     assert pii.train(spark.createDataFrame([("no data",), (None,)], "text string")) is None
 
 
+def test_tagger_is_not_starved(spark):
+    """Texts with a digit are many, those with personal data few."""
+    rows = [(f"page {i} of the year {1900 + i % 120} in words",) for i in range(3000)]
+    rows += [(("item 7 " + "and much more text of any kind that holds no data " * 2) * 30 + f"call +1 (626) 555-{5000 + i} today",) for i in range(3)]
+    assert pii.train(spark.createDataFrame(rows, "text string").repartition(8), texts=8, updates=2) is not None
+    assert pii.train(spark.createDataFrame(rows[:3000], "text string").repartition(8), texts=8, updates=2) is None
+
+
+FORMS = {
+    "two_groups": (3, ["(626)5555759", "0151 23456789", "(431) 5559807", "0431 5559807"]),
+    "one_group": (3, ["04315559807", "06265555759"]),
+    "at_sign_words": (0, ["hpn.42 (at) mail2.example.com", "abc.91 [at] mail7.example.com", "hpn.42(at)mail2.example.com"]),
+    "all_words": (0, ["hpn.42 at mail2 dot example dot com", "abc.91 [at] mail7 [dot] example [dot] com", "abc.91 at mail7.example.com"]),
+}
+
+
+def test_tagger_finds_few_groups_and_words(tagger):
+    words = ["ouea thing", "erha onble", "stand ination", "nter call", "mail onble", "thing re"]
+    recall = {}
+    for name, (kind, values) in FORMS.items():
+        texts = [(v, f"{a} {v} {b} re") for v in values for a in words for b in words[:3]]
+        spans = pii.added_spans(tagger, [t for _, t in texts], [pii.base_spans(t) for _, t in texts])
+        recall[name] = np.mean([any(k == kind and t[a:b] == v for a, k, b in s) for (v, t), s in zip(texts, spans)])
+    print(recall)
+    assert min(recall.values()) >= 0.5, recall
+    assert pii.regions("write to jane (at) mail dot org") and not pii.regions("we met at home and a dot on paper")
+
+
 def test_lstm_learns():
     t = bilstm.Tagger(["O", "B", "I"], np.array([[1, 1, 0], [1, 1, 1], [1, 1, 1]], bool), size=3, hidden=4)
     t.p = {k: v.astype(np.float64) for k, v in t.p.items()}
