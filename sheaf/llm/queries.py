@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import decontam, gridjoin, langid, licenses, packing, pii, quality, secretscan, simhash, urlfilter
+from sheaf.llm import decontam, gridjoin, langid, licenses, packing, periodic, pii, quality, secretscan, simhash, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -103,6 +103,30 @@ def pack_documents(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), with_ids=False)
 
 
+def periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of every text; a tenth of the texts, by the hash of the id, go on with a repeated part of their own words."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = table(spark, folder, "documents").select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"))
+    words = docs.withColumn("ws", F.when(F.col("h") % 10 == 0, F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')")))
+    words = words.withColumn("n", F.size("ws")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    words = words.withColumn("p", F.expr("1 + floor((n - a) / (3 + g % 8))"))
+    again = "array_join(transform(ws, (w, i) -> if(i < a, w, ws[CAST(a + (i - a) % p AS INT)])), ' ')"
+    texts = words.select("doc_id", F.expr(f"CASE WHEN n > 0 THEN {again} ELSE text END").alias("text"))
+    found = texts.select("doc_id", periodic.scan(spark, F.col("text")).alias("f")).select("doc_id", "f.*")
+    best = F.expr("array_max(transform(runs, r -> struct(r.length AS length, -r.start AS start, -r.period AS period)))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')")
+    return found.withColumns({"best": best, "lines": lines}).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length DIV -best.period").alias("exponent_milli"),
+        F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": url_filter,
     "op2_language_id": language_id,
@@ -114,4 +138,5 @@ QUERIES: dict[str, Query] = {
     "op8_grid_order_join": grid_order_join,
     "op9_secret_scan": secret_scan,
     "op10_license_scan": license_scan,
+    "op13_periodic_runs": periodic_runs,
 }
