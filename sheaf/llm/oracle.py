@@ -92,8 +92,60 @@ SELECT doc_id, path, coalesce(own.license_id, up.license_id) AS license_id,
 FROM named LEFT JOIN own USING (doc_id) LEFT JOIN up USING (doc_id)
 """
 
+PREFIX_TRIE = r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS n
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+convs AS (
+  SELECT conv_id, xor(list_reduce(
+           list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+           lambda crc, x: list_reduce(list_prepend(xor(crc, x), range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))
+         ), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)
+),
+chosen AS (
+  SELECT c.conv_id, 0 AS part, t.n, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 20 AND t.n < c.h
+  UNION ALL
+  SELECT c.conv_id, 1, t.n, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.n >= c.h
+),
+rebuilt AS (
+  SELECT conv_id, text, row_number() OVER w AS depth,
+         string_agg(sha256(role) || sha256(text), ',') OVER w AS path
+  FROM chosen WINDOW w AS (PARTITION BY conv_id ORDER BY part, n)
+),
+paths AS (
+  SELECT conv_id, 0 AS depth, 'root' AS node, 0 AS words FROM convs
+  UNION ALL
+  SELECT conv_id, depth, sha256(path), len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) FROM rebuilt
+),
+members AS (
+  SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS parent,
+         lead(node) OVER (PARTITION BY conv_id ORDER BY depth) IS NULL AS ends
+  FROM paths
+),
+nodes AS (
+  SELECT node, any_value(parent) AS parent, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         (count(*) - 1) * any_value(words) AS own,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM members GROUP BY node
+),
+children AS (SELECT parent AS node, count(*) AS n_children FROM nodes GROUP BY parent),
+-- a node belongs to its smallest member, so the nodes below another are those of its members from its depth on
+totals AS (
+  SELECT m.node, count(*) FILTER (WHERE c.n_children IS NULL) AS n_leaves, sum(u.own) AS saved_tokens
+  FROM members m JOIN nodes u ON u.conv_id = m.conv_id AND u.depth >= m.depth LEFT JOIN children c ON c.node = u.node
+  GROUP BY m.node
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children,
+       t.n_leaves, t.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.node = n.parent LEFT JOIN children c ON c.node = n.node JOIN totals t ON t.node = n.node
+"""
+
 ORACLE: dict[str, str] = {
     "op1_url_filter": URL_FILTER,
     "op8_grid_order_join": VECTORS,
     "op10_license_scan": LICENSES,
+    "op12_prefix_trie": PREFIX_TRIE,
 }

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import decontam, gridjoin, langid, licenses, packing, periodic, pii, quality, secretscan, simhash, urlfilter
+from sheaf.llm import decontam, gridjoin, langid, licenses, packing, periodic, pii, prefixtrie, quality, secretscan, simhash, urlfilter
+from sheaf.llm.ordered import running
+from sheaf.session import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -103,6 +105,21 @@ def pack_documents(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), with_ids=False)
 
 
+def prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Trie of conversations rebuilt with the first turns of the first conversation of their twenty."""
+    turns = running(prefixtrie.digests(table(spark, folder, "conversations")), "conv_id", ["turn", "hi", "lo"])
+    turns = materialise(turns, "trie-turns")
+    members = turns.where("n = 0").select("conv_id")
+    taken = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 4
+    own = turns.where(F.col("n") >= taken("conv_id")).withColumn("place", F.col("n"))
+    first = turns.where((F.col("n") < 3) & (F.col("conv_id") % 20 == 0)).withColumnRenamed("conv_id", "head")
+    ids = "filter(transform(sequence(-19L, 19L), k -> try_add(head, k)), c -> c IS NOT NULL AND c - c % 20 = head)"
+    heads = first.withColumn("conv_id", F.explode(F.expr(ids))).where(F.col("n") < taken("conv_id"))
+    heads = heads.join(members, "conv_id", "left_semi").withColumn("place", F.col("n") - 3)
+    columns = ["conv_id", "place", "hi", "lo", "words"]
+    return prefixtrie.nodes(own.select(*columns).unionByName(heads.select(*columns)), members)
+
+
 def periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Runs of every text; a tenth of the texts, by the hash of the id, go on with a repeated part of their own words."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -138,5 +155,6 @@ QUERIES: dict[str, Query] = {
     "op8_grid_order_join": grid_order_join,
     "op9_secret_scan": secret_scan,
     "op10_license_scan": license_scan,
+    "op12_prefix_trie": prefix_trie,
     "op13_periodic_runs": periodic_runs,
 }
