@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import decontam, gridjoin, langid, licenses, packing, periodic, pii, prefixtrie, quality, secretscan, simhash, urlfilter
+from sheaf.llm import decontam, gridjoin, kmeanstree, langid, licenses, packing, periodic, pii, prefixtrie, quality, secretscan, simhash, urlfilter
 from sheaf.llm.ordered import running
 from sheaf.session import materialise
 
@@ -105,6 +105,10 @@ def pack_documents(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), with_ids=False)
 
 
+def tree_search(spark: SparkSession, folder: str) -> DataFrame:
+    return kmeanstree.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     """Trie of conversations rebuilt with the first turns of the first conversation of their twenty."""
     turns = running(prefixtrie.digests(table(spark, folder, "conversations")), "conv_id", ["turn", "hi", "lo"])
@@ -155,6 +159,7 @@ QUERIES: dict[str, Query] = {
     "op8_grid_order_join": grid_order_join,
     "op9_secret_scan": secret_scan,
     "op10_license_scan": license_scan,
+    "op11_kmeans_tree": tree_search,
     "op12_prefix_trie": prefix_trie,
     "op13_periodic_runs": periodic_runs,
 }
