@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sheaf.functions import cards as C
 from sheaf.functions import text as X
 from sheaf.functions.ranking import numbered
-from sheaf.operators import backfill, cards, cuts, linkage, prepare, reassign, report, resume, store, summary, tiles
+from sheaf.operators import backfill, cards, cuts, linkage, prepare, reassign, report, resume, store, summary, sweep, tiles
 from sheaf.operators import tracker, vectors
 from sheaf.plans import pipeline
 from sheaf.session import materialise, scratch_dir, spread
@@ -550,11 +550,9 @@ def copies(spark, folder):
 @query
 def nearest_documents(spark, folder):
     corpus = vectors.build_corpus(saved(spark, folder))
-    one = {"grp": F.lit(0), "scale": F.lit(1.0)}
-    v = corpus.leaves.select(F.col("leaf").alias("vid"), F.col("leaf").alias("own"), "vec").withColumns(one)
-    t = corpus.leaves.select(F.col("leaf").alias("cid"), F.col("leaf").alias("kin"), "vec").withColumns(one)
-    best = tiles.best_in_bands(v, t)
-    return best.select(F.col("vid").alias("leaf"), F.round(1.0 - F.col("sim"), 6).alias("distance"))
+    rows = sweep.whole(corpus.leaves).select(F.col("leaf").alias("seat"), F.col("leaf").alias("id"), F.lit(1.0).alias("size"), F.array(big(F.lit(0))).alias("marks"), "tids", "ws")
+    found = sweep.sweep(rows, rows, lambda: sweep.Neighbours(1), f"leaf long, near {sweep.NEAR}, complete boolean", True)
+    return found.where(F.size("near") > 0).select("leaf", F.round(1.0 - F.get("near", F.lit(0))["sim"], 6).alias("distance"))
 
 
 @query
@@ -589,7 +587,7 @@ def cluster_sizes(spark, folder):
 @query
 def centroids(spark, folder):
     corpus, labels = _given(spark, folder)
-    sums = cuts.cluster_sums(corpus, labels)
+    sums = cuts.cluster_sizes(corpus, labels, materialise(cuts.cluster_terms(corpus, labels), "terms"))
     return sums.select(big("grp").alias("grp"), "label", "n", F.round(F.sqrt("square") / F.col("n"), 6).alias("length"))
 
 
