@@ -118,6 +118,54 @@ LEAVES = """
     lw AS (SELECT doc_id AS leaf, term, w FROM w WHERE doc_id IN (SELECT leaf FROM leaf))"""
 
 
+# The merge tree by rounds: every pair of clusters that are each other's nearest is merged, ties go to the smaller id.
+MERGES = """    size AS (SELECT leaf, copies AS n FROM leaf),
+            start AS (SELECT a.leaf AS a, b.leaf AS b, sum(a.w * b.w) * any_value(x.n) * any_value(y.n) AS dot, any_value(x.n) AS na, any_value(y.n) AS nb
+              FROM lw a JOIN lw b ON a.term = b.term AND a.leaf < b.leaf JOIN size x ON x.leaf = a.leaf JOIN size y ON y.leaf = b.leaf GROUP BY a.leaf, b.leaf),
+            rounds AS (
+              SELECT a, b, dot, na, nb, FALSE AS merged, 0::DOUBLE AS sim FROM start
+              UNION ALL (
+                WITH pairs AS (SELECT * FROM rounds WHERE NOT merged),
+                near AS (SELECT x, max(s) AS s, arg_min(y, (-s, y)) AS y FROM (
+                    SELECT a AS x, b AS y, round(dot / (na * nb), 12) AS s FROM pairs UNION ALL SELECT b, a, round(dot / (na * nb), 12) FROM pairs) GROUP BY x),
+                met AS (SELECT u.x AS keep, u.y AS gone, u.s FROM near u JOIN near v ON v.x = u.y AND v.y = u.x WHERE u.x < u.y AND u.s > 0),
+                grown AS (SELECT m.keep, m.gone, p.na + p.nb AS n FROM met m JOIN pairs p ON p.a = m.keep AND p.b = m.gone),
+                moved AS (SELECT coalesce(ga.keep, p.a) AS a, coalesce(gb.keep, p.b) AS b, p.dot, coalesce(ga.n, ka.n, p.na) AS na, coalesce(gb.n, kb.n, p.nb) AS nb
+                  FROM pairs p LEFT JOIN grown ga ON ga.gone = p.a LEFT JOIN grown gb ON gb.gone = p.b LEFT JOIN grown ka ON ka.keep = p.a LEFT JOIN grown kb ON kb.keep = p.b)
+                SELECT least(a, b), greatest(a, b), sum(dot), any_value(CASE WHEN a < b THEN na ELSE nb END), any_value(CASE WHEN a < b THEN nb ELSE na END), FALSE, 0::DOUBLE
+                FROM moved WHERE a <> b AND EXISTS (SELECT 1 FROM met) GROUP BY least(a, b), greatest(a, b)
+                UNION ALL SELECT keep, gone, 0::DOUBLE, 0, 0, TRUE, s FROM met)),
+            tree AS (SELECT b AS gone, a AS keep, round(1 - sim, 12) AS distance FROM rounds WHERE merged)"""
+
+CLUSTERING = f"{CORPUS.replace('WITH', 'WITH RECURSIVE', 1)}, {LEAVES}, {MERGES}"
+
+# The best scored of up to 30 cuts of the tree; `least` is the minimum size of a cluster.
+CHOICE = """
+    total AS (SELECT sum(copies) AS docs, least(sum(copies), greatest(3, ceil(sum(copies) * 0.05::DOUBLE))) AS least FROM leaf),
+    heights AS (SELECT DISTINCT distance FROM (SELECT distance FROM tree WHERE distance > 0
+                UNION ALL SELECT 1.0::DOUBLE WHERE (SELECT count(*) FROM tree) < (SELECT count(*) FROM leaf) - 1)),
+    placed AS (SELECT distance, row_number() OVER (ORDER BY distance) - 1 AS p, count(*) OVER () AS n FROM heights),
+    cand AS (SELECT p // step AS idx, distance FROM (SELECT *, CASE WHEN n <= 30 THEN 1 ELSE n // 30 END AS step FROM placed) WHERE p % step = 0 AND p // step < 30),
+    climb AS (SELECT idx, distance AS t, leaf, leaf AS node FROM leaf, cand
+              UNION ALL SELECT idx, t, leaf, keep FROM climb JOIN tree ON gone = node WHERE distance < t),
+    lab AS (SELECT idx, leaf, min(node) AS label FROM climb GROUP BY idx, leaf),
+    csize AS (SELECT idx, label, sum(copies) AS n FROM lab JOIN leaf USING (leaf) GROUP BY idx, label),
+    prof AS (SELECT idx, count(*) AS k, max(n) / docs AS largest, coalesce(sum(n) FILTER (WHERE n < least), 0) / docs AS tiny
+             FROM csize, total GROUP BY idx, docs HAVING count(*) BETWEEN 2 AND docs - 1 AND max(n) >= any_value(least)),
+    sims AS (SELECT a AS x, b AS y, dot / (na * nb) AS s FROM start UNION ALL SELECT b, a, dot / (na * nb) FROM start
+             UNION ALL SELECT DISTINCT leaf, leaf, 1.0::DOUBLE FROM lw),
+    prods AS (SELECT l.idx, x AS leaf, l.label, sum(s * f.copies) AS dot FROM sims JOIN leaf f ON f.leaf = y JOIN lab l ON l.leaf = y SEMI JOIN prof ON prof.idx = l.idx GROUP BY l.idx, x, l.label),
+    own AS (SELECT l.idx, l.leaf, f.copies, c.n, coalesce(p.dot - 1, 0) AS others,
+              coalesce((SELECT max(o.dot / z.n) FROM prods o JOIN csize z ON z.idx = o.idx AND z.label = o.label WHERE o.idx = l.idx AND o.leaf = l.leaf AND o.label <> l.label), 0) AS next
+            FROM lab l SEMI JOIN prof USING (idx) JOIN leaf f USING (leaf) JOIN csize c ON c.idx = l.idx AND c.label = l.label
+            LEFT JOIN prods p ON p.idx = l.idx AND p.leaf = l.leaf AND p.label = l.label),
+    apart AS (SELECT idx, copies, n, (n - 1 - others) / (n - 1) AS a, 1 - next AS b FROM own WHERE n > 1),
+    score AS (SELECT idx, any_value(k) AS k, coalesce(sum(CASE WHEN greatest(a, b) > 0 THEN copies * (b - a) / greatest(a, b) ELSE 0 END), 0) / any_value(docs)
+                - 0.35::DOUBLE * any_value(largest) - 0.20::DOUBLE * any_value(tiny) AS score
+              FROM prof LEFT JOIN apart USING (idx), total GROUP BY idx),
+    chosen AS (SELECT idx, k, distance AS threshold FROM score JOIN cand USING (idx) ORDER BY round(score, 12) DESC, idx LIMIT 1)"""
+
+
 def sentence_ctes(source: str) -> str:
     """CTE ``sent(doc_id, s, sentence)`` from ``source(doc_id, text)``."""
     m = "chr(1)"
@@ -534,6 +582,10 @@ def oracle() -> dict[str, str]:
         "nearest_documents": f"""{CORPUS}, {LEAVES},
             pair AS (SELECT a.leaf, b.leaf AS other, sum(a.w * b.w) AS sim FROM lw a JOIN lw b ON a.term = b.term AND a.leaf <> b.leaf GROUP BY ALL)
             SELECT leaf, round(1 - max(sim), 6) AS distance FROM pair GROUP BY leaf""",
+        "merge_tree": f"""{CLUSTERING}
+            SELECT gone, keep, round(distance, 6) AS distance FROM tree""",
+        "natural_cut": f"""{CLUSTERING}, {CHOICE}
+            SELECT leaf, label, k, round(threshold, 6) AS threshold, CAST(least AS BIGINT) AS minimum FROM lab JOIN chosen USING (idx), total""",
         "cosine_pairs": f"""{CORPUS}, {LEAVES},
             pair AS (SELECT a.leaf AS a, b.leaf AS b, sum(a.w * b.w) AS sim FROM lw a JOIN lw b ON a.term = b.term AND a.leaf < b.leaf GROUP BY ALL)
             SELECT a, b, round(1 - sim, 6) AS distance FROM pair WHERE sim >= 0.25""",

@@ -600,7 +600,18 @@ def reassign_tiny(spark, folder):
 
 @query
 def merge_tree(spark, folder):
-    return linkage.average_linkage(vectors.build_corpus(saved(spark, folder)))
+    tree = linkage.average_linkage(vectors.build_corpus(saved(spark, folder)))
+    return tree.select("gone", "keep", F.round("distance", 6).alias("distance"))
+
+
+@query
+def natural_cut(spark, folder):
+    """The best scored cut of the whole tree, with the minimum size that the number of documents gives."""
+    corpus = vectors.build_corpus(saved(spark, folder))
+    minimum = cuts.min_cluster_size(corpus.n_docs)
+    found = cuts.natural_labels(corpus, linkage.average_linkage(corpus), minimum)
+    threshold = F.lit(found.threshold).cast("double")
+    return found.labels.select("leaf", "label", big(F.lit(found.k)).alias("k"), F.round(threshold, 6).alias("threshold"), big(F.lit(minimum)).alias("minimum"))
 
 
 @query
