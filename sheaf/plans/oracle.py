@@ -141,7 +141,7 @@ CLUSTERING = f"{CORPUS.replace('WITH', 'WITH RECURSIVE', 1)}, {LEAVES}, {MERGES}
 
 # The best scored of up to 30 cuts of the tree; `least` is the minimum size of a cluster.
 CHOICE = """
-    total AS (SELECT sum(copies) AS docs, least(sum(copies), greatest(3, ceil(sum(copies) * 0.05::DOUBLE))) AS least FROM leaf),
+    total AS (SELECT sum(copies) AS docs, least(sum(copies), {minimum}) AS least FROM leaf),
     heights AS (SELECT DISTINCT distance FROM (SELECT distance FROM tree WHERE distance > 0
                 UNION ALL SELECT 1.0::DOUBLE WHERE (SELECT count(*) FROM tree) < (SELECT count(*) FROM leaf) - 1)),
     placed AS (SELECT distance, row_number() OVER (ORDER BY distance) - 1 AS p, count(*) OVER () AS n FROM heights),
@@ -584,7 +584,21 @@ def oracle() -> dict[str, str]:
             SELECT leaf, round(1 - max(sim), 6) AS distance FROM pair GROUP BY leaf""",
         "merge_tree": f"""{CLUSTERING}
             SELECT gone, keep, round(distance, 6) AS distance FROM tree""",
-        "natural_cut": f"""{CLUSTERING}, {CHOICE}
+        "cluster_run": f"""{CLUSTERING}, {CHOICE.format(minimum="4")},
+            cut AS (SELECT leaf, label, n, n >= least AS large FROM lab JOIN chosen USING (idx) JOIN csize USING (idx, label), total),
+            dots AS (SELECT leaf, label, dot FROM prods JOIN chosen USING (idx)),
+            lengths AS (SELECT label, sqrt(sum(copies * dot)) AS l FROM cut JOIN dots USING (leaf, label) JOIN leaf USING (leaf) WHERE large GROUP BY label),
+            pick AS (SELECT d.leaf, arg_max(d.label, (round(dot / l, 12), -d.label)) AS label FROM dots d JOIN lengths USING (label) JOIN cut c ON c.leaf = d.leaf
+                     WHERE NOT c.large AND round(dot / l, 12) > 0 GROUP BY d.leaf),
+            fin AS (SELECT leaf, CASE WHEN large OR NOT EXISTS (FROM cut WHERE large) THEN c.label ELSE coalesce(p.label, (SELECT min(label) FROM cut WHERE large)) END AS label
+                    FROM cut c LEFT JOIN pick p USING (leaf)),
+            clustered AS (SELECT doc_id, label AS cluster_id FROM prep JOIN leaf ON k = array_to_string(tokens, ' ') JOIN fin USING (leaf)),
+            {cluster_terms(label="clustered")},
+            line AS (SELECT cluster_id, string_agg(term, ', ' ORDER BY rank) AS words FROM kr WHERE rank <= 24 GROUP BY cluster_id)
+            SELECT cluster_id, count(*) AS total_opportunities, coalesce(any_value(words), 'No keywords available.') AS keyword_line,
+              (SELECT count(DISTINCT cluster_id) FROM clustered) AS discovered_k, any_value(chosen.k) AS natural_discovered_k
+            FROM clustered LEFT JOIN line USING (cluster_id), chosen GROUP BY cluster_id""",
+        "natural_cut": f"""{CLUSTERING}, {CHOICE.format(minimum='greatest(3, ceil(sum(copies) * 0.05::DOUBLE))')}
             SELECT leaf, label, k, round(threshold, 6) AS threshold, CAST(least AS BIGINT) AS minimum FROM lab JOIN chosen USING (idx), total""",
         "cosine_pairs": f"""{CORPUS}, {LEAVES},
             pair AS (SELECT a.leaf AS a, b.leaf AS b, sum(a.w * b.w) AS sim FROM lw a JOIN lw b ON a.term = b.term AND a.leaf < b.leaf GROUP BY ALL)
