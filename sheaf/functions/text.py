@@ -13,11 +13,11 @@ from sheaf.functions.stopwords import NUMBER_WORDS, english_stop_words
 # Unicode white space; Java's \s and trim() know the ASCII part only.
 WS = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
-# Sentence limits.
+_TOKEN_BREAK = r"[^\p{L}\p{N}]+"
+
+# Sentence limits, and the patterns that sentences are split at.
 RUN_ON_CHARS, RUN_ON_WORDS = 280, 45
 LONG_CHARS, LONG_WORDS, CHUNK_WORDS = 220, 36, 28
-
-_TOKEN_BREAK = r"[^\p{L}\p{N}]+"
 _SENTENCE_BREAK = rf"(?<=[.!?]){WS}+|\n+"
 _RUN_ON_BREAK = (
     r"[•●▪◦]+ ?"

@@ -24,14 +24,13 @@ class Section:
 
 
 # Order, headers and prompt texts.
-_WRITER = "You are a professional resume writer. "
 SECTIONS = (
     Section("header"),
     Section(
         "summary",
         "Resume Summary",
         "CAREER HIGHLIGHTS",
-        _WRITER + "Tailor the resume summary below for the job description provided. Keep it 3–5 sentences, "
+        "You are a professional resume writer. Tailor the resume summary below for the job description provided. Keep it 3–5 sentences, "
         "impact-focused, and specific to the role. Return only the summary text with no markdown headers.",
         "SUMMARY",
     ),
@@ -39,7 +38,7 @@ SECTIONS = (
         "highlights",
         "CAREER HIGHLIGHTS",
         "CORE COMPETENCIES",
-        _WRITER + "From the career highlights below, select and refine the 5–7 most relevant bullet points for the "
+        "You are a professional resume writer. From the career highlights below, select and refine the 5–7 most relevant bullet points for the "
         "job description. Keep each point quantified and impactful. Return only bullet points.",
         "HIGHLIGHTS",
     ),
@@ -47,7 +46,7 @@ SECTIONS = (
         "competencies",
         "CORE COMPETENCIES",
         "AWARDS & RECOGNITION",
-        _WRITER + "Tailor the core competencies below to best align with the job description. Prioritize relevant "
+        "You are a professional resume writer. Tailor the core competencies below to best align with the job description. Prioritize relevant "
         "skills; reorder or trim as needed. Return only the competencies content with no top-level header.",
         "COMPETENCIES",
     ),
@@ -56,7 +55,7 @@ SECTIONS = (
         "experience",
         "WORK EXPERIENCE",
         "CERTIFICATION/TRAINING",
-        _WRITER + "Tailor the work experience below for the job description. Retain all roles but prioritize and "
+        "You are a professional resume writer. Tailor the work experience below for the job description. Retain all roles but prioritize and "
         "refine bullet points that are most relevant. Use strong action verbs and preserve quantified achievements. "
         "Return the formatted experience section without a top-level header.",
         "EXPERIENCE",

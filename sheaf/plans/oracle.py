@@ -565,6 +565,9 @@ def oracle() -> dict[str, str]:
         "stopword_table": "SELECT DISTINCT lower(trim(regexp_replace(p_type, ' +', ' ', 'g'))) AS term FROM part",
         "status_table": f"""SELECT conv_id, turn, role AS section, {statuses('conv_id')} AS status,
             {stamp('make_timestamp((1704067200 + conv_id * 3600) * 1000000)')} AS last_updated FROM conversations""",
+        "status_files": f"""SELECT role || '-' || turn AS section, {statuses('conv_id')} AS status,
+            {stamp('make_timestamp((1704067200 + conv_id * 3600) * 1000000)')} AS last_updated, conv_id || '-' || turn AS filename FROM conversations""",
+        "resume_files": f"WITH {RESUME} SELECT resume_id, md5(body) AS digest, TRUE AS dated FROM res",
         "tracker_counts": f"""WITH {OPP} SELECT count(*) AS total, count(*) FILTER (WHERE applied) AS applied,
             count(*) FILTER (WHERE NOT applied) AS not_applied FROM opp""",
         "tracker_view": f"""WITH {OPP} SELECT row_number() OVER (ORDER BY coalesce(relevant, false) DESC, applied ASC, date_posted DESC, doc_pos) AS place,
