@@ -577,6 +577,7 @@ def oracle() -> dict[str, str]:
             FROM opp WHERE designation <> '' AND company_name <> ''""",
         "can_tailor": f"WITH {OPP} SELECT doc_pos, length(job_description) AS n_chars FROM opp WHERE job_description <> ''",
         "status_fold": STATUS,
+        "status_restart": STATUS,
         "status_stream": STATUS,
         "tfidf": f"""{CORPUS} SELECT doc_id, count(*) AS terms, round(sum(w), 6) AS total, round(max(w), 6) AS largest,
             CAST(sum(df) AS BIGINT) AS df_sum, round(sum(w * length(term)), 5) AS checksum FROM w GROUP BY doc_id""",

@@ -512,6 +512,20 @@ def status_stream(spark, folder):
     return _status(status.fold_updates(log.read()))
 
 
+@query
+def status_restart(spark, folder):
+    """Clicks that arrive in three lots of files, some of them twice and not by time, the stream started anew for each lot."""
+    events = S.table(spark, folder, "events")
+    base = os.path.join(scratch_dir(spark), f"status-{os.urandom(8).hex()}")
+    landing, log = os.path.join(base, "landing"), status.ChangeLog(spark, os.path.join(base, "log"))
+    third = F.col("event_id") % 3
+    for lot in (third == 1, third != 0, third == 0):
+        events.where(lot).repartition(2, "user_id").write.mode("append").parquet(landing)
+        source = spark.readStream.schema(events.schema).parquet(landing)
+        status.start(_updates(source), log, os.path.join(base, "checkpoint")).awaitTermination()
+    return _status(status.fold_updates(log.read()))
+
+
 @query
 def status_current(spark, folder):
     """Clicks, a fold, records collected anew, and later clicks: the store as a reader sees it."""
