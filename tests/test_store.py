@@ -193,6 +193,8 @@ def test_folded_clicks_do_not_come_back(spark, tmp_path):
     log.append(kept, 0)  # as if the run had died before it trimmed the log
     table.write(store.upsert(table.read(), batch(spark, record("u"))))
     assert status.live(table, log).first().applied is False
+    table.expire(1)  # the snapshot that names the fold stays
+    assert status.live(table, log).first().applied is False
     log.append(kept, 1)  # a later click counts
     assert status.live(table, log).first().applied is True
     assert status.compact(table, log) and log.batches() == []
