@@ -75,6 +75,15 @@ def _near(texts: DataFrame, needles: list[str]) -> DataFrame:
     return texts.select("path", "digest", F.explode(some).alias("terms"))
 
 
+def _norms(distinct: DataFrame, lines: DataFrame, n: int) -> DataFrame:
+    """``(line, norm)``: squared length of each of the texts ``distinct (line, terms)``, every word weighed by the lines it stands in."""
+    each = materialise(distinct.select("line", F.explode("terms").alias("term")).groupBy("line", "term").agg(F.count(F.lit(1)).alias("k")), "licence-words")
+    seen = lines.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("c"))
+    idf = F.log(F.lit(float(n + 1)) / (F.coalesce("c", F.lit(0)) + 1)) + 1
+    weights = materialise(each.select("term").distinct().join(seen, "term", "left").select("term", idf.alias("idf")), "licence-weights")
+    return each.join(weights, "term").groupBy("line").agg(F.sum(F.col("k") * F.col("idf") * F.col("k") * F.col("idf")).alias("norm"))
+
+
 def best_notices(files: DataFrame, templates: DataFrame, cosine: float = COSINE) -> DataFrame:
     """``(path, digest, license_id, score)``: for each file with a line or whole text close enough, the closest template.
 
@@ -92,7 +101,6 @@ def best_notices(files: DataFrame, templates: DataFrame, cosine: float = COSINE)
     counts = {r.term: r["count"] for r in seen.groupBy("term").count().collect()}
     n = counts.get("", 0)
     idf = {t: math.log((n + 1) / (counts.get(t, 0) + 1)) + 1 for t in vocabulary}
-    unseen = math.log(n + 1) + 1
     needles = sorted({t for _, ts in listed for t in _heavy({t: ts.count(t) * idf[t] for t in ts}, cosine)})
     whole = own.where(F.regexp_extract("path", r"([^/]*)$", 1).rlike(FILE_NAMES))
     units = materialise(_near(_lines(own), needles).union(_near(whole, needles)), "licence-lines")
@@ -101,9 +109,7 @@ def best_notices(files: DataFrame, templates: DataFrame, cosine: float = COSINE)
     known, weight = F.array_intersect("terms", words), F.create_map(*(x for t in vocabulary for x in (F.lit(t), F.lit(idf[t]))))
     vector = F.transform(known, lambda t: F.struct(t.alias("term"), (F.size(F.filter("terms", lambda u: u == t)) * weight[t]).alias("w")))
     lines = distinct.select("line", "terms", vector.alias("vector"))
-    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.w * x.w)
-    others = F.size(F.filter("terms", lambda t: ~F.array_contains(words, t)))
-    lines = lines.select("line", "vector", (square + others * unseen * unseen).alias("norm"))
+    lines = lines.select("line", "vector").join(_norms(distinct, _lines(own), n), "line")
     spark = files.sparkSession
     rows = [(i, k, t, ts.count(t) * idf[t], sum((ts.count(u) * idf[u]) ** 2 for u in set(ts))) for i, (k, ts) in enumerate(sorted(listed)) for t in sorted(set(ts))]
     of_templates = spark.createDataFrame(rows, "template int, license_id string, term string, tw double, tnorm double")

@@ -70,13 +70,13 @@ tpl AS (SELECT license_id, row_number() OVER () AS t, {_TERMS.format("text")} AS
 vocab AS (SELECT DISTINCT unnest(ts) AS w FROM tpl),
 lines AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\r\\n|[\\n\\v\\f\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]')) AS line FROM files),
 total AS (SELECT count(*) AS n FROM lines),
-df AS (SELECT w, count(*) AS c FROM (SELECT unnest(list_distinct({_TERMS.format("line")})) AS w FROM lines) SEMI JOIN vocab USING (w) GROUP BY 1),
-idf AS (SELECT w, ln((n + 1) / (coalesce(c, 0) + 1)) + 1 AS v FROM vocab LEFT JOIN df USING (w) CROSS JOIN total),
+df AS (SELECT w, count(*) AS c FROM (SELECT unnest(list_distinct({_TERMS.format("line")})) AS w FROM lines) GROUP BY 1),
+idf AS (SELECT w, ln((n + 1) / (coalesce(c, 0) + 1)) + 1 AS v FROM (SELECT w FROM vocab UNION SELECT w FROM df) LEFT JOIN df USING (w) CROSS JOIN total),
 units AS (SELECT row_number() OVER () AS u, * FROM (
   SELECT doc_id, {_TERMS.format("line")} AS ts FROM lines UNION ALL SELECT doc_id, {_TERMS.format("text")} FROM named WHERE governs)),
 counted AS (SELECT u, w, count(*) AS k FROM (SELECT u, unnest(ts) AS w FROM units) GROUP BY ALL),
 weighed AS (SELECT u, w, k, v FROM counted LEFT JOIN idf USING (w)),
-norms AS (SELECT u, sum(CASE WHEN v IS NULL THEN k * (ln(n + 1) + 1) * (ln(n + 1) + 1) ELSE k * v * k * v END) AS norm FROM weighed CROSS JOIN total GROUP BY u),
+norms AS (SELECT u, sum(k * v * k * v) AS norm FROM weighed GROUP BY u),
 tw AS (SELECT t, license_id, w, count(*) * any_value(v) AS tw FROM (SELECT t, license_id, unnest(ts) AS w FROM tpl) JOIN idf USING (w) GROUP BY ALL),
 tn AS (SELECT t, sum(tw * tw) AS tnorm FROM tw GROUP BY 1),
 dots AS (SELECT u, t, license_id, sum(k * v * tw) AS dot FROM weighed JOIN tw USING (w) GROUP BY ALL),
