@@ -133,6 +133,15 @@ def test_licenses(spark):
     assert all(got[i] == (None, "none", None) for i in (4, 9, 10, 11))
 
 
+def test_other_text_does_not_hide_a_licence(spark):
+    head = "This file is licensed under the Apache License, Version 2.0, see LICENSE in the project root."
+    common = "the in of to and this file see project root is for we you text code line with on by from".split()
+    lines = ["\n".join(f"{common[i % 21]} {common[(i * 7 + j) % 21]} word{chr(97 + j % 26)} {common[j % 21]}" for j in range(200)) for i in range(25)]
+    others = [(i + 1, f"b/{i}.txt", t) for i, t in enumerate(lines)]
+    for files in ([(0, "a/x.py", head)], [(0, "a/x.py", head), *others]):
+        assert licensed(spark, files)[0] == ("Apache-2.0", "header", None)
+
+
 def test_licenses_empty(spark):
     assert licensed(spark, []) == {}
     assert licensed(spark, [(1, "a", "Released under the MIT License.")], []) == {1: (None, "none", None)}
