@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 # HTML element classes.
@@ -90,6 +91,7 @@ def _attribute_test(body: str):
     return test
 
 
+@lru_cache(maxsize=4096)
 def compile_selector(selector: str):
     """A test for one simple selector: tag, #id, .class and [attribute] parts; raises on anything else."""
     tests, at = [], 0

@@ -7,6 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheaf.functions import cards as C
+
 DIRT = {" the ": "\t the\x00 \r\n\r\n\r\n", " de ": "\x0b de \x07\r \n\n\n\n", " und ": "  \t und\x7f  "}
 
 
@@ -125,6 +127,53 @@ def cards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def board_layouts(spark: SparkSession, folder: str) -> DataFrame:
+    """Selectors of two layouts by the length of a domain; a third of the domains has none."""
+    domains = table(spark, folder, "pages").select(C.domain_key(F.col("url")).alias("domain")).distinct()
+    kind = F.length("domain") % 3
+    one = {"container": ["nav", "main"], "card": ["li[componentkey]"], "link": ["a[href^='/']"]}
+    two = {"container": ["ul.board"], "card": ["div[role='LISTITEM' i]"], "text_tag": ["h3"], "span_tag": ["em"], "key_attribute": ["data-key"]}
+    as_map = [F.map_from_entries(F.array(*[F.struct(F.lit(k), F.array(*map(F.lit, v))) for k, v in m.items()])) for m in (one, two)]
+    chosen = F.when(kind == 1, as_map[0]).when(kind == 2, as_map[1])
+    return domains.select("domain", F.explode(chosen).alias("field", "selectors"))
+
+
+def boards(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages as result lists ``(page_id, source, page_num, page_url, html)``, 16 to a source: their links become cards of two layouts.
+
+    Every fifth card repeats the key of the one before it, every fourth is page furniture.
+    """
+    pages = table(spark, folder, "pages")
+    number = F.col("page_id")
+    links = F.regexp_extract_all("html", F.lit(r'<li><a href="[^"]*">([^<]*)</a></li>'), F.lit(1))
+
+    def item(text, i):
+        key = F.concat(F.lit("k"), (i - (i % 5 == 4).cast("int")).cast("string"))
+        company = F.when(i % 4 == 1, "Privacy Office").otherwise(F.concat(F.lit("Firm "), i.cast("string")))
+        posted = F.concat(F.lit("Posted on May "), (i % 28 + 1).cast("string"), F.lit(", 2026"))
+        job = (number * 100 + i).cast("string")
+        one = ["<li componentkey='", key, "'><p>", text, "</p><p>&middot;</p><p>", company, "</p><p>Rome</p><span>new</span><span>", posted]
+        one += ["</span><a href='#'>top</a><a href='/jobs?currentJobId=", job, "'>more</a></li>"]
+        two = ["<div role='listitem' data-key='", key, "'><h3>", text, "</h3><h3>", company, "</h3><em>", posted]
+        two += ["</em><a href='?currentJobId=", job, "&amp;x=1'>more</a></div>"]
+        return F.when(F.length("domain") % 3 == 1, _joined(one)).otherwise(_joined(two))
+
+    html = F.concat(
+        F.substring_index("html", "<ul>", 1), F.lit("<ul class='wide board'>"), F.array_join(F.transform(links, item), ""), F.lit("</ul></nav></body></html>")
+    )
+    return pages.withColumn("domain", C.domain_key(F.col("url"))).select(
+        "page_id",
+        F.concat(F.lit("https://www."), F.col("domain"), F.lit("/search/"), F.floor(number / 16).cast("string")).alias("source"),
+        (number % 16 + 1).cast("int").alias("page_num"),
+        F.concat(F.lit("https://"), F.col("domain"), F.lit("/list/"), number.cast("string"), F.lit("?page=1")).alias("page_url"),
+        html.alias("html"),
+    )
+
+
+def _joined(parts):
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
 def dirty_text(c):
     """Text with control characters, odd line ends and blanks put in."""
     for clean, dirty in DIRT.items():

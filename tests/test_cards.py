@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sheaf.functions import cards as C
 from sheaf.functions import html as H
 from sheaf.operators import cards
-from sheaf.sources.pages import raw_cards, selector_texts
+from sheaf.sources.pages import layout_cards, layout_faults, layouts, raw_cards, selector_texts
 
 NOW = "2030-01-01 00:00:00"
 
@@ -153,3 +153,38 @@ def test_selector_texts(spark):
     assert selector_texts(pages, ["main", "span"]).first().found == [None, "x"]
     with pytest.raises(ValueError):
         selector_texts(pages, [])
+
+
+def test_each_page_meets_its_own_layout(spark):
+    conf = spark.createDataFrame(
+        [
+            ("a.com", "container", ["div[data-testid='lazy-column']", "main"]),
+            ("a.com", "card", ["div[role='button'][componentkey]"]),
+            ("b.com", "container", ["ul"]),
+            ("b.com", "text_tag", ["b"]),
+            ("b.com", "key_attribute", ["id"]),
+            ("bad.com", "container", ["ul > li"]),
+            ("none.com", "text_tag", ["p"]),
+        ],
+        "domain string, field string, selectors array<string>",
+    )
+    lists = "<ul><li id=1><b>One</b><a href='/x?n=1'>go</a></li><li><a>no address</a></li></ul>"
+    pages = spark.createDataFrame(
+        [(1, "a.com", "https://a.com/q", PAGE), (2, "b.com", "https://b.com/q", lists), (3, "bad.com", "u", lists), (4, "none.com", "u", lists)]
+        + [(5, "b.com", None, None), (6, None, "u", lists), (7, "b.com", "https://b.com/q", "<p>no list</p>")]
+        + [(i, "b.com", "https://b.com/q", lists) for i in range(100, 140)],
+        "page_id bigint, domain string, page_url string, html string",
+    )
+    found = layouts(conf, card="li")
+    assert {r.domain for r in found.collect()} == {"a.com", "b.com", "bad.com"}
+    assert [tuple(r) for r in layout_faults(found).collect()] == [("bad.com", "container", "ul > li")]
+    rows = layout_cards(pages, found).collect()
+    assert sorted((r.pos, r.key, r.texts, r.link) for r in rows if r.page_id == 2) == [
+        (0, "1", ["One"], "https://b.com/x?n=1"),
+        (1, None, [], "https://b.com/q"),
+    ]
+    assert [r.key for r in rows if r.page_id == 1] == ["k1", "k1"]
+    assert len(rows) == 4 + 80 and {r.page_id for r in rows} == {1, 2, *range(100, 140)}
+    assert layout_cards(pages.limit(0), found).collect() == []
+    with pytest.raises(ValueError):
+        layouts(conf, colour="red")
