@@ -286,6 +286,23 @@ def domain(x: str) -> str:
     return rf"coalesce(regexp_replace(lower({host}), '^www\.', ''), '')"
 
 
+# The result lists that samples.boards makes of the pages, their cards with all fields, and those that a collector looks at.
+BOARDS = rf"""
+    li AS (SELECT page_id, d, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) AS ts FROM (SELECT *, {domain('url')} AS d FROM pages)),
+    one AS (SELECT page_id, d, length(d) % 3 = 1 AS wide, i - 1 AS i, trim(replace(replace(t, '&amp;', '&'), '&quot;', '"')) AS t
+            FROM (SELECT page_id, d, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM li WHERE length(d) % 3 > 0)),
+    field AS (SELECT *, 'k' || (i - CASE WHEN i % 5 = 4 THEN 1 ELSE 0 END) AS key, CASE WHEN i % 4 = 1 THEN 'Privacy Office' ELSE 'Firm ' || i END AS firm,
+              'Posted on May ' || (i % 28 + 1) || ', 2026' AS posted, page_id * 100 + i AS job FROM one),
+    board AS (SELECT page_id, 'https://www.' || d || '/search/' || (page_id // 16) AS source, page_id % 16 + 1 AS page_num, i AS pos, key, job,
+              CASE WHEN wide THEN [t, chr(183), firm, 'Rome'] ELSE [t, firm] END AS texts,
+              CASE WHEN wide THEN ['new', posted] ELSE [posted] END AS spans,
+              CASE WHEN wide THEN 'https://' || d || '/jobs?currentJobId=' || job ELSE 'https://' || d || '/list/' || page_id || '?currentJobId=' || job || '&x=1' END AS link,
+              CASE WHEN wide THEN list_filter([t, chr(183), firm, 'Rome', 'new' || posted || 'topmore'], lambda x: x <> '')
+                   ELSE list_filter([t, firm, posted || 'more'], lambda x: x <> '') END AS lines,
+              CASE WHEN wide THEN 2 ELSE 1 END AS gap, TIMESTAMP '2026-05-01' + INTERVAL 1 DAY * (i % 28) AS date_posted,
+              list_filter(CASE WHEN wide THEN [t, firm, 'Rome'] ELSE [t, firm] END, lambda x: x <> '') AS tt FROM field)"""
+
+
 ARTICLE = rf"""
     art AS (
       SELECT page_id, url, regexp_extract(html, '<div class="ad">(.*?)</div>', 1, 's') AS ad,
@@ -532,6 +549,23 @@ def oracle() -> dict[str, str]:
         "page_cards": r"""WITH nav AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<li><a [^>]*>([^<]*)</a></li>', 1) AS ts FROM pages)
             SELECT page_id, i - 1 AS pos, nullif(replace(replace(trim(t), '&amp;', '&'), '&quot;', '"'), '') AS first_text
             FROM (SELECT page_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM nav)""",
+        "layout_cards": f"""WITH {BOARDS}
+            SELECT page_id, pos, key, array_to_string(texts, '|') AS texts, array_to_string(spans, '|') AS spans,
+              length(array_to_string(lines, '')) + gap * (len(lines) - 1) AS html_length, link FROM board""",
+        "collect_pages": f"""WITH RECURSIVE {BOARDS},
+            firsts AS (SELECT * FROM board QUALIFY row_number() OVER (PARTITION BY source, page_num, key ORDER BY pos) = 1),
+            named AS (SELECT *, tt[1] AS designation, tt[2] AS company_name, tt[3] AS location FROM firsts),
+            near AS (SELECT *, ({_NOISE}) AS noise, row_number() OVER (PARTITION BY source, page_num ORDER BY pos) AS idx FROM named),
+            looks AS (
+              SELECT source, 0 AS page, 0 AS look, 0::BIGINT AS kept FROM (SELECT DISTINCT source FROM near)
+              UNION ALL
+              SELECT l.source, l.page + 1, CAST(10 - l.kept AS INTEGER),
+                l.kept + (SELECT count(*) FROM near n WHERE n.source = l.source AND n.page_num = l.page + 1
+                            AND n.idx <= 10 - l.kept AND NOT n.noise)
+              FROM looks l WHERE l.page < 16)
+            SELECT designation, company_name, location, 'https://www.linkedin.com/jobs/view/' || job || '/' AS source_url,
+              {stamp('date_posted')} AS date_posted, false AS applied
+            FROM near n JOIN looks l ON l.source = n.source AND l.page = n.page_num WHERE idx <= look AND NOT noise""",
         "page_descriptions": f"WITH {ARTICLE} SELECT page_id, url, description FROM found",
         "store_upsert": f"""WITH {OPP}, {INCOMING}, {MERGED}
             SELECT source_hash, id, designation, md5(job_description) AS description_digest, location, company_name, source_url,
@@ -674,6 +708,7 @@ def oracle() -> dict[str, str]:
         "dynamic_default": """WITH d AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), ''), lambda c: c <> ''))) AS term FROM documents)
             SELECT term, count(*) AS df FROM d GROUP BY term
             HAVING count(*) >= greatest(2, ceil((SELECT count(*) FROM documents) * CASE WHEN (SELECT count(*) FROM documents) >= 10 THEN 0.6 ELSE 0.75 END))""",
+        "json_store": f"WITH {OPP} SELECT id, designation, md5(job_description) AS description_digest, source_url, applied FROM opp WHERE source_url IS NOT NULL",
         "json_object": f"WITH {OPP} SELECT id, designation, source_url, applied FROM opp WHERE source_url IS NOT NULL",
         "default_values": f"""WITH {OPP}, {INCOMING} SELECT pos, id, CASE WHEN location = 'remote' THEN {stamp('date_posted')} ELSE '{Q.NOW}' END AS date_posted, false AS applied FROM inc""",
         "selector_table": """SELECT c_name AS domain, unnest(['container', 'description', 'paged']) AS field, unnest([c_mktsegment, c_mktsegment || '|' || c_name, 'true']) AS selectors

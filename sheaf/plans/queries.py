@@ -19,6 +19,7 @@ from sheaf.operators import tracker, vectors
 from sheaf.plans import pipeline
 from sheaf.session import materialise, scratch_dir, spread
 from sheaf.sources import clusters, config, records
+from sheaf.sources import pages as pages_
 from sheaf.sources import samples as S
 from sheaf.sources.pages import raw_cards
 from sheaf.streaming import status
@@ -286,6 +287,24 @@ def page_cards(spark, folder):
     return found.select("page_id", big("pos").alias("pos"), F.get(C.card_texts(F.col("texts")), F.lit(0)).alias("first_text"))
 
 
+@query
+def layout_cards(spark, folder):
+    """All fields of the cards of all pages, each page read by the layout of its own domain."""
+    pages = S.boards(spark, folder).withColumn("domain", C.domain_key(F.col("source")))
+    found = pages_.layout_cards(pages, pages_.layouts(S.board_layouts(spark, folder)))
+    texts, spans = F.array_join("texts", "|"), F.array_join("spans", "|")
+    return found.select("page_id", big("pos").alias("pos"), "key", texts.alias("texts"), spans.alias("spans"), big("html_length").alias("html_length"), "link")
+
+
+@query
+def collect_pages(spark, folder):
+    """Stored pages of known domains into an empty store, at most ten opportunities a source."""
+    known = cards.known_sources(S.boards(spark, folder), S.board_layouts(spark, folder).select("domain").distinct())
+    table = records.SnapshotStore(spark, _folder(spark, "collected"))
+    pipeline.collect_pages(table, known.drop("domain"), S.board_layouts(spark, folder), now(), jobs=10, pages=16)
+    return table.read().select("designation", "company_name", "location", "source_url", stamp(F.col("date_posted")).alias("date_posted"), "applied")
+
+
 @query
 def page_descriptions(spark, folder):
     found = backfill.descriptions(S.table(spark, folder, "pages"), SELECTORS)
@@ -399,6 +418,21 @@ def json_object(spark, folder):
     return kept.select("id", "designation", "source_url", "applied")
 
 
+@query
+def json_store(spark, folder):
+    """All records as JSON objects of some ten thousand each, one per file, and read back by splits."""
+    path = _folder(spark, "store-files")
+    rows = S.opportunities(spark, folder).where("source_hash IS NOT NULL").withColumn("part", F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(1 + S.table(spark, folder, "documents").count() // 10_000)))
+    entry = F.concat(F.lit('  "'), "source_hash", F.lit('": '), F.to_json(F.struct("id", "designation", "job_description", "source_url", "applied")), F.lit(","))
+    parts = rows.select("part").distinct()
+    head = parts.select("part", F.lit(0).alias("place"), F.lit("{").alias("value"))
+    tail = parts.select("part", F.lit(2).alias("place"), F.lit('  "version": 1\n}').alias("value"))
+    lines = head.unionByName(rows.select("part", F.lit(1).alias("place"), entry.alias("value"))).unionByName(tail)
+    lines.repartition("part").sortWithinPartitions("part", "place").select("part", "value").write.partitionBy("part").text(path)
+    kept, _ = records.import_json(spark, path)
+    return kept.select("id", "designation", F.md5(F.col("job_description").cast("binary")).alias("description_digest"), "source_url", "applied")
+
+
 @query
 def default_values(spark, folder):
     rows = store.with_defaults(S.incoming(spark, folder).withColumns({"applied": F.lit(None).cast("boolean"), "date_posted": F.when(F.col("location") == "remote", F.col("date_posted"))}), now())

@@ -263,3 +263,35 @@ def test_collect_folds_clicks_first_and_reads_pages(spark, tmp_path):
     assert [(r.designation, r.company_name, r.date_posted) for r in table.read().collect()] == [("Lead", "Acme", dt.datetime(2026, 5, 1))]
     with pytest.raises(ValueError):
         pipeline.collect_pages(table, pages, conf.limit(0), now, "li")
+
+
+def test_one_json_object_is_read_by_several_tasks(spark, tmp_path):
+    texts = ["plain", 'a "quoted" } {', "[[{{", "}}]]", "back\\slash\\", 'end\\"', "", "line\nbreak }", "ü·}"]
+    data = {}
+    for i in range(600):
+        data[f'k{i}"}}' if i % 7 == 0 else f"k{i}"] = {"id": str(i), "text": texts[i % len(texts)] * (i % 5), "more": [{"a": {"b": [texts[i % len(texts)], i]}}, []]}
+        if i % 50 == 0:
+            data[f"n{i}"] = [i, "flat", "}{"][i // 50 % 3]
+    (tmp_path / "a.json").write_text(json.dumps(data) + "\n", encoding="utf-8")
+    (tmp_path / "b.json").write_text("\n" + json.dumps(data, indent=2, ensure_ascii=False), encoding="utf-8")
+    (tmp_path / "c.json").write_text("[" + json.dumps(data) + "]")
+    (tmp_path / "d.json").write_text("{}")
+    (tmp_path / "e.json").write_text("")
+    (tmp_path / "f.json").write_text('{"x": {"id": "1"}, "y": {"id": "2", "te')
+    want = {k: v for k, v in data.items()}
+    held = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("1500", "128MB"):
+            for c in held:
+                spark.conf.set(c, size)
+            assert (spark.read.text(str(tmp_path / "a.json")).rdd.getNumPartitions() > 20) == (size == "1500")
+            for name in "ab":
+                rows = records.keyed_values(spark, str(tmp_path / f"{name}.json")).collect()
+                assert len(rows) == len(want)
+                assert {r.key: r.value if isinstance(want[r.key], str) else json.loads(r.value) for r in rows} == want
+            for name in "cde":
+                assert records.keyed_values(spark, str(tmp_path / f"{name}.json")).collect() == []
+            assert [tuple(r) for r in records.keyed_values(spark, str(tmp_path / "f.json")).collect()] == [("x", '{"id":"1"}')]
+    finally:
+        for c, v in held.items():
+            spark.conf.set(c, v)
