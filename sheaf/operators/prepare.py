@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions import text as X
@@ -62,6 +62,59 @@ def drop_explicit(prepared: DataFrame, stopwords: Iterable[str]) -> DataFrame:
     return _filled(prepared, tokens, keywords)
 
 
+def phrase_rows(terms: DataFrame) -> DataFrame:
+    """``(phrase, words)`` of the phrases among ``terms(term)``, normalised and distinct; ``words`` is their number, two at least."""
+    phrase = F.lower(X.compact(F.col("term")))
+    rows = terms.select(phrase.alias("phrase")).distinct()
+    return rows.withColumn("words", F.size(F.split("phrase", " "))).where("words > 1")
+
+
+def drop_phrase_table(prepared: DataFrame, terms: DataFrame) -> DataFrame:
+    """``drop_phrases`` with the phrases of a table ``terms(term)`` of any length, single words among them not looked at.
+
+    The windows of a document, as long as some phrase is, meet the phrases by hash and text. Of several phrases that begin at one
+    token the longest counts, and left to right a phrase that begins inside one already dropped does not. Only matches are sorted
+    and folded: those of a document that overlap, one chain of them at a time. ``doc_pos`` tells documents apart.
+    Null lists of tokens and documents left without a token drop out, as they do in ``drop_explicit``.
+    """
+    phrases = materialise(phrase_rows(terms), "phrases")
+    lengths = sorted(r.words for r in phrases.select("words").distinct().collect())  # a number per length in use
+    if not lengths:
+        return _filled(prepared, F.col("tokens"), F.col("keywords"))
+    size = F.size("tokens")
+
+    def windows(n: int) -> Column:
+        """Place, length and hash of all windows of ``n`` tokens."""
+        places = F.when(size >= n, F.sequence(F.lit(0), size - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.struct(i.alias("i"), F.lit(n).alias("n"), F.array_join(F.slice("tokens", i + 1, n), " ").alias("phrase")))
+
+    found = prepared.select("doc_pos", F.explode(F.concat(*map(windows, lengths))).alias("w")).select("doc_pos", "w.i", "w.n", "w.phrase")
+    found = found.withColumn("hash", F.xxhash64("phrase"))
+    keyed = phrases.select(F.xxhash64("phrase").alias("hash"), F.col("phrase").alias("known"))
+    hits = found.join(keyed, "hash").where("phrase = known").groupBy("doc_pos", "i").agg(F.max("n").alias("n"))
+
+    place = Window.partitionBy("doc_pos").orderBy("i")
+    reach = F.max(F.col("i") + F.col("n")).over(place.rowsBetween(Window.unboundedPreceding, -1))
+    chained = hits.withColumn("new", (F.col("i") >= F.coalesce(reach, F.lit(0))).cast("long"))
+    chained = chained.withColumn("chain", F.sum("new").over(place.rowsBetween(Window.unboundedPreceding, 0)))
+    chains = chained.groupBy("doc_pos", "chain").agg(F.sort_array(F.collect_list(F.struct("i", "n"))).alias("hits"))
+
+    def take(kept: Column, hit: Column) -> Column:
+        last = F.element_at(kept, -1)
+        free = (F.size(kept) == 0) | (hit["i"] >= last["i"] + last["n"])
+        return F.when(free, F.concat(kept, F.array(hit))).otherwise(kept)
+
+    none = F.slice("hits", 1, 0)
+    kept = F.when(F.size("hits") == 1, F.col("hits")).otherwise(F.aggregate("hits", none, take))
+    dropped = chains.groupBy("doc_pos").agg(F.sort_array(F.flatten(F.collect_list(kept))).alias("dropped"))
+    met = prepared.join(dropped, "doc_pos", "left")
+    # what stays: the stretches between one dropped phrase and the next
+    opens = F.concat(F.array(F.lit(0)), F.transform("dropped", lambda d: d["i"] + d["n"]))
+    closes = F.concat(F.transform("dropped", lambda d: d["i"]), F.array(size))
+    left = F.flatten(F.zip_with(opens, closes, lambda a, b: F.slice("tokens", a + 1, b - a)))
+    return _filled(met, F.when(F.col("dropped").isNull(), F.col("tokens")).otherwise(left), F.col("keywords"))
+
+
 def _filled(prepared: DataFrame, tokens: Column, keywords: Column) -> DataFrame:
     row = F.struct(tokens.alias("tokens"), keywords.alias("keywords"))
     return prepared.select("doc_pos", F.explode(X.when_filled(row, "tokens")).alias("r")).select("doc_pos", "r.*")
@@ -103,9 +156,12 @@ def prepare(
     text: str = "job_description",
     ratio: float | None = None,
     lexicon: DataFrame | None = None,
+    phrases: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Both filter passes: ``(prepared, dynamic stopwords)``, each written once."""
+    """Both filter passes: ``(prepared, dynamic stopwords)``, each written once. ``phrases(term)`` is a list too long for ``stopwords``."""
     first = materialise(drop_explicit(tokenise(docs, text, lexicon), stopwords), "tokens")
+    if phrases is not None:
+        first = materialise(drop_phrase_table(first, phrases), "tokens")
     blocked = materialise(dynamic_stopwords(first, ratio), "dynamic")
     if blocked.isEmpty():
         return first, blocked

@@ -482,6 +482,18 @@ def oracle() -> dict[str, str]:
         "tokens": f"WITH {prepared('documents')} SELECT doc_id, len(toks) AS n_tokens, {digest('toks')} AS digest FROM tok",
         "stopword_filter": f"""WITH {prepared('documents')} SELECT doc_id, len(tokens) AS n_tokens, len(keywords) AS n_keywords,
             {digest('tokens')} AS tokens_digest, {digest('keywords')} AS keywords_digest FROM prep""",
+        "phrase_filter": f"""WITH RECURSIVE {prepared('documents')},
+            terms AS (SELECT DISTINCT p FROM (SELECT unnest([toks[1:2], toks[2:3], toks[2:4], toks[4:7]]) AS p FROM tok) WHERE len(p) > 1),
+            win AS (SELECT doc_id, i, n, toks[i + 1:i + n] AS p FROM (SELECT doc_id, toks, n, unnest(range(len(toks) - n + 1)) AS i FROM tok, (VALUES (2), (3), (4)) v(n))),
+            hit AS (SELECT doc_id, i, max(n) AS n FROM win SEMI JOIN terms USING (p) GROUP BY ALL),
+            follow AS (SELECT a.doc_id, a.i, a.n, b.i AS nxt FROM hit a ASOF LEFT JOIN hit b ON a.doc_id = b.doc_id AND a.i + a.n <= b.i),
+            taken AS (
+              SELECT * FROM follow QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) = 1
+              UNION ALL SELECT f.* FROM taken t JOIN follow f ON f.doc_id = t.doc_id AND f.i = t.nxt),
+            place AS (SELECT doc_id, unnest(toks) AS w, generate_subscripts(toks, 1) - 1 AS k FROM tok),
+            gone AS (SELECT doc_id, unnest(range(i, i + n)) AS k FROM taken),
+            stays AS (SELECT doc_id, list(w ORDER BY k) AS ws FROM place ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+            SELECT doc_id, len(ws) AS n_tokens, len(toks) AS n_keywords, {digest('ws')} AS digest FROM stays JOIN tok USING (doc_id)""",
         "dynamic_stopwords": f"""WITH {prepared('documents')}
             SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(keywords)) AS term FROM prep) GROUP BY term
             HAVING count(*) >= greatest(2, ceil((SELECT count(*) FROM prep) * {Q.DYNAMIC_SHARE}::DOUBLE))""",

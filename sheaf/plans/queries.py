@@ -116,6 +116,15 @@ def stopword_filter(spark, folder):
     )
 
 
+@query
+def phrase_filter(spark, folder):
+    """Drop the opening phrases of all documents, of two to four words, wherever they stand."""
+    rows = materialise(prepare.tokenise(S.documents(spark, folder)), "tokens")
+    spans = F.array(*[F.array_join(F.slice("tokens", a, n), "  ") for a, n in ((1, 2), (2, 2), (2, 3), (4, 4))])
+    left = prepare.drop_phrase_table(rows, rows.select(F.explode(spans).alias("term")))
+    return left.select(F.col("doc_pos").alias("doc_id"), big(F.size("tokens")).alias("n_tokens"), big(F.size("keywords")).alias("n_keywords"), digest(F.col("tokens")).alias("digest"))
+
+
 @query
 def dynamic_stopwords(spark, folder):
     return prepare.dynamic_stopwords(saved(spark, folder), DYNAMIC_SHARE)

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -159,3 +160,18 @@ def test_sentences_lose_no_word_and_keep_limits(spark, values):
 def test_list_normalise(spark):
     df = spark.createDataFrame([([" a ", "b", "", "a", None, " "],)], "v array<string>")
     assert df.select(X.normalise_list(F.col("v")).alias("o")).first().o == ["a", "b"]
+
+
+def test_phrases_of_a_table_are_dropped_like_those_of_a_list(spark):
+    draw = random.Random(5)
+    lists = [[draw.choice("abc") for _ in range(draw.randrange(0, 40))] for _ in range(120)] + [["a"] * 300, None]
+    phrases = ["a  a a", "A b", "b a c", "b c a b", "c c c", "x y", " c", "", None]
+    rows = spark.createDataFrame([(i, t, t) for i, t in enumerate(lists)], "doc_pos long, tokens array<string>, keywords array<string>")
+    terms = spark.createDataFrame([(p,) for p in phrases], "term string")
+    _, several = X.split_stopwords([p for p in phrases if p])
+    want = {r.doc_pos: r.t for r in rows.select("doc_pos", X.drop_phrases(F.col("tokens"), several).alias("t")).collect() if r.t}
+    got = prepare.drop_phrase_table(rows, terms).collect()
+    assert {r.doc_pos: r.tokens for r in got} == want
+    assert all(r.keywords == lists[r.doc_pos] for r in got)
+    assert prepare.drop_phrase_table(rows, terms.where("term = 'none'")).count() == sum(bool(t) for t in lists)
+    assert prepare.drop_phrase_table(rows.limit(0), terms).count() == 0
