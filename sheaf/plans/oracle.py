@@ -420,33 +420,35 @@ PROMPTS = f"""WITH {OPP}, {RESUME}, {SECTION_ROWS},
         || chr(10) || chr(10) || 'JOB DESCRIPTION:' || chr(10) || job_description AS prompt
       FROM res JOIN opp ON conv_id = doc_pos WHERE job_description <> '')"""
 
-def _every_job() -> str:
-    """The shipped sections: headers, prompts and labels are values shared with the engine, rules are not."""
+def _tailored(cv: str, on: str) -> str:
+    """The shipped sections: headers, prompts and labels are values shared with the engine, rules are not. ``cv`` makes ``(resume_id, body)``."""
     shipped = list(enumerate(SECTIONS))
-    headed = [x for _, x in shipped if x.header]
     gap, line = "chr(10) || chr(10)", "chr(10)"
-    body = " || ".join(f"{gap} || {lit('# ' + x.header)} || {line} || coalesce(max(text) FILTER (WHERE turn = {i}), '')" for i, x in enumerate(headed))
 
     def cut(x) -> str:
         return section(x.header, x.until) if x.until else strip(f"substr(body, strpos(body, {lit('# ' + x.header)}))")
 
     asked = " UNION ALL ".join(
-        f"SELECT doc_pos AS job_id, {lit(x.name)} AS section, {i}::BIGINT AS ord, {lit(x.header)} AS header, {lit(x.prompt)} || {gap} || {lit('ORIGINAL ' + x.label + ':')} || {line} || "
-        f"{cut(x)} || {gap} || 'JOB DESCRIPTION:' || {line} || whole AS prompt FROM cv, opp WHERE whole <> ''"
+        f"SELECT resume_id, doc_pos AS job_id, {lit(x.name)} AS section, {i}::BIGINT AS ord, {lit(x.header)} AS header, {lit(x.prompt)} || {gap} || {lit('ORIGINAL ' + x.label + ':')} || {line} || "
+        f"{cut(x)} || {gap} || 'JOB DESCRIPTION:' || {line} || whole AS prompt FROM cv JOIN opp ON {on} WHERE whole <> ''"
         for i, x in shipped
         if x.prompt
     )
-    fixed = " UNION ALL ".join(f"SELECT {i} AS ord, {cut(x) if x.header else strip(f'left(body, {_FIRST} - 1)')} AS part FROM cv" for i, x in shipped if not x.prompt)
-    return f"""WITH {OPP}, cv AS (SELECT 'conv 0' || {body} AS body FROM conversations WHERE conv_id = 0),
+    fixed = " UNION ALL ".join(f"SELECT resume_id, {i} AS ord, {cut(x) if x.header else strip(f'left(body, {_FIRST} - 1)')} AS part FROM cv" for i, x in shipped if not x.prompt)
+    return f"""WITH {OPP}, cv AS ({cv}),
     asked AS ({asked}), fixed AS ({fixed}),
     part AS (
-      SELECT job_id, ord, '# ' || header || {line} || CASE WHEN length(prompt) % 13 = 0 THEN '' ELSE lower(prompt) END AS part FROM asked
-      UNION ALL SELECT job_id, fixed.ord, part FROM (SELECT DISTINCT job_id FROM asked), fixed),
-    done AS (SELECT job_id, md5(string_agg(part, {gap} ORDER BY ord)) AS resume_digest FROM part WHERE part <> '' GROUP BY 1)
-    SELECT job_id, section, ord, md5(prompt) AS digest, resume_digest FROM asked JOIN done USING (job_id)"""
+      SELECT resume_id, job_id, ord, '# ' || header || {line} || CASE WHEN length(prompt) % 13 = 0 THEN '' ELSE lower(prompt) END AS part FROM asked
+      UNION ALL SELECT resume_id, job_id, fixed.ord, part FROM (SELECT DISTINCT resume_id, job_id FROM asked) JOIN fixed USING (resume_id)),
+    done AS (SELECT resume_id, job_id, md5(string_agg(part, {gap} ORDER BY ord)) AS resume_digest FROM part WHERE part <> '' GROUP BY ALL)"""
 
 
-EVERY_JOB = _every_job()
+_HEADED = [x.header for x in SECTIONS if x.header]
+_BODY = " || ".join(f"chr(10) || chr(10) || {lit('# ' + h)} || chr(10) || coalesce(max(text) FILTER (WHERE turn = {i}), '')" for i, h in enumerate(_HEADED))
+EVERY_JOB = f"""{_tailored(f"SELECT 0 AS resume_id, 'conv 0' || {_BODY} AS body FROM conversations", "true")}
+    SELECT job_id, section, ord, md5(prompt) AS digest, resume_digest FROM asked JOIN done USING (resume_id, job_id)"""
+RESUME_PAIRS = f"""{_tailored(f"SELECT conv_id AS resume_id, 'conv ' || conv_id || {_BODY} AS body FROM conversations GROUP BY conv_id", "resume_id = doc_pos % (SELECT max(conv_id) + 1 FROM conversations)")}
+    SELECT resume_id, job_id, section, ord, md5(prompt) AS digest, resume_digest FROM asked JOIN done USING (resume_id, job_id)"""
 
 _DIRTY = "text"
 for _clean, _dirty in S.DIRT.items():
@@ -702,6 +704,9 @@ def oracle() -> dict[str, str]:
             count(*) AS total FROM orders GROUP BY o_orderpriority""",
         "due_outputs": f"""SELECT c_custkey AS output, {stamp('max(o_orderdate)')} AS generated_at FROM customer LEFT JOIN orders ON o_custkey = c_custkey
             GROUP BY c_custkey HAVING max(o_orderdate) IS NULL OR max(o_orderdate) < TIMESTAMP '1998-06-01' - INTERVAL 30 DAY""",
+        "forced_outputs": f"""SELECT c_custkey AS output, {stamp('max(o_orderdate)')} AS generated_at,
+              coalesce(max(o_orderdate) >= TIMESTAMP '1998-06-01' - INTERVAL 30 DAY, false) AS fresh
+            FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""",
         "display_time": f"""WITH t AS (SELECT o_orderkey, o_orderkey % 13 AS k, {stamp('o_orderdate')} AS s, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS iso, o_orderpriority FROM orders)
             SELECT o_orderkey, CASE k WHEN 0 THEN s || ' ' WHEN 1 THEN s || ' UTC' WHEN 2 THEN s || ' UTC+05:30' WHEN 3 THEN s || ' UTC' WHEN 4 THEN s || ' UTC-08:00'
               WHEN 5 THEN left(iso, 4) WHEN 6 THEN left(iso, 7) WHEN 7 THEN left(s, 10) || ' 00:00:00 ' WHEN 8 THEN left(s, 16) || ':00 ' WHEN 9 THEN substr(iso, 12, 5)
@@ -743,6 +748,7 @@ def oracle() -> dict[str, str]:
         "resume_sections": f"WITH {RESUME}, {SECTION_ROWS} SELECT resume_id, ord, section, body FROM secs",
         "resume_prompts": f"{PROMPTS} SELECT prompt_id, resume_id, job_id, section, ord, md5(prompt) AS digest FROM prm",
         "resume_every_job": EVERY_JOB,
+        "resume_pairs": RESUME_PAIRS,
         "header_prompts": f"""WITH {RESUME}, p AS (SELECT resume_id, {lit(before)} || body || {lit(after)} AS prompt FROM res)
             SELECT resume_id, length(prompt) AS n_chars, md5(prompt) AS digest FROM p""",
         "resume_assembly": f"""{PROMPTS},

@@ -31,6 +31,7 @@ SKILLS = ["tion", "Eau", "mento"]
 PLACES = ["que", " the ", "und"]
 SELECTORS = ["div.jobs-description-content__text", "div.ad", "article"]
 MIN_SIZE = 10
+PART_ROWS = 100
 DYNAMIC_SHARE = 0.1
 SECTIONS = (
     resume.Section("header"),
@@ -416,12 +417,12 @@ def snapshot_store(spark, folder):
 
 @query
 def json_object(spark, folder):
-    """Records of a JSON object keyed by hash, one object per source."""
+    """Records of JSON objects keyed by hash, each with at most 1000 records of a source."""
     path = _folder(spark, "objects")
     rows = S.opportunities(spark, folder).where("source_hash IS NOT NULL")
     value = F.to_json(F.struct("id", "designation", "source_url", "applied"))
     entry = F.concat(F.lit('"'), F.col("source_hash"), F.lit('": '), value)
-    each = rows.groupBy("company_name", "location").agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ", "), F.lit("}")).alias("value"))
+    each = rows.groupBy("company_name", "location", F.floor(F.col("doc_pos") / 1000)).agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ", "), F.lit("}")).alias("value"))
     each.select("value").write.text(path)
     kept, _ = records.import_json(spark, path, by_line=True)
     return kept.select("id", "designation", "source_url", "applied")
@@ -450,12 +451,12 @@ def default_values(spark, folder):
 
 @query
 def selector_table(spark, folder):
-    """One configuration object per market segment, domains by nation."""
+    """Configuration objects of at most 1000 domains of a market segment."""
     path = _folder(spark, "selectors")
-    rows = S.table(spark, folder, "customer").select("c_name", "c_mktsegment")
+    rows = S.table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment")
     fields = F.to_json(F.struct(F.col("c_mktsegment").alias("container"), F.array("c_mktsegment", "c_name").alias("description"), F.lit(True).alias("paged")))
     entry = F.concat(F.lit('"'), F.col("c_name"), F.lit('": '), fields)
-    rows.groupBy("c_mktsegment").agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ","), F.lit("}")).alias("value")).select("value").write.text(path)
+    rows.groupBy("c_mktsegment", F.floor(F.col("c_custkey") / 1000)).agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ","), F.lit("}")).alias("value")).select("value").write.text(path)
     return config.selectors(spark, path, by_line=True).select("domain", "field", F.array_join("selectors", "|").alias("selectors"))
 
 
@@ -812,10 +813,14 @@ def nested_members(spark, folder):
     keywords = materialise(summary.ranked_keywords(terms), "keywords")
     none = spark.createDataFrame([], "cluster_id long, rank int, sentence string")
     table = summary.cluster_table(assigned, keywords.limit(0), none)
-    nested = summary.nested_records(table, keywords, summary.cluster_members(docs, assigned))
-    placed = numbered(nested.withColumn("all", F.lit(0)), ["all"], summary.report_order(), "place")
-    rows = placed.select("place", "cluster_id", big(F.size("keywords")).alias("n_keywords"), F.get("keywords", F.lit(0)).alias("best"), F.posexplode("opportunities").alias("i", "o"))
-    return rows.select(big("place").alias("place"), "cluster_id", "n_keywords", "best", big("i").alias("i"), F.col("o.id").alias("id"))
+    parts = summary.nested_parts(table, keywords, summary.cluster_members(docs, assigned), PART_ROWS)
+    places = numbered(table.withColumn("all", F.lit(0)), ["all"], summary.report_order(), "place").select("place", "cluster_id")
+    words = parts.where("part = 0").select("cluster_id", F.get("keywords", F.lit(0)).alias("best"))
+    sizes = parts.groupBy("cluster_id").agg(F.sum(F.size("keywords")).alias("n_keywords"))
+    facts = places.join(sizes, "cluster_id").join(words, "cluster_id")
+    rows = parts.select("cluster_id", "part", F.posexplode("opportunities").alias("i", "o")).join(facts, "cluster_id")
+    at = big("part") * PART_ROWS + F.col("i")
+    return rows.select(big("place").alias("place"), "cluster_id", big("n_keywords").alias("n_keywords"), "best", at.alias("i"), F.col("o.id").alias("id"))
 
 
 @query
@@ -857,6 +862,15 @@ def due_outputs(spark, folder):
     return report.due_outputs(runs, wanted, at).select("output", stamp(F.col("generated_at")).alias("generated_at"))
 
 
+@query
+def forced_outputs(spark, folder):
+    """All outputs, fresh ones too, with their latest run."""
+    runs = S.table(spark, folder, "orders").select(F.col("o_custkey").alias("output"), F.col("o_orderdate").cast("timestamp").alias("generated_at"))
+    wanted = S.table(spark, folder, "customer").select(F.col("c_custkey").alias("output"))
+    fresh = report.is_fresh(F.col("generated_at"), F.lit("1998-06-01 00:00:00").cast("timestamp"))
+    return report.due_outputs(runs, wanted, now(), force=True).select("output", stamp(F.col("generated_at")).alias("generated_at"), fresh.alias("fresh"))
+
+
 @query
 def display_time(spark, folder):
     orders = S.table(spark, folder, "orders")
@@ -893,20 +907,39 @@ def resume_prompts(spark, folder):
     return prompts.select("prompt_id", "resume_id", "job_id", "section", big("ord").alias("ord"), F.md5(F.col("prompt").cast("binary")).alias("digest"))
 
 
-@query
-def resume_every_job(spark, folder):
-    """One résumé with the shipped sections, tailored to every description: prompts, and the résumés put together."""
-    turns = S.table(spark, folder, "conversations").where("conv_id = 0")
+def _shipped_resume(turns: DataFrame, opening: Column) -> Column:
+    """A résumé with the shipped headers, one turn under each, as an aggregate over turns."""
     headers = [s.header for s in resume.SECTIONS if s.header]
     said = [F.coalesce(F.max(F.when(F.col("turn") == i, F.col("text"))), F.lit("")) for i in range(len(headers))]
-    parts = [x for h, t in zip(headers, said) for x in (F.lit(f"\n\n# {h}\n"), t)]
-    one = turns.agg(F.concat(F.lit("conv 0"), *parts).alias("body")).select(F.lit("conv").alias("resume_id"), "body")
+    return F.concat(opening, *[x for h, t in zip(headers, said) for x in (F.lit(f"\n\n# {h}\n"), t)]).alias("body")
+
+
+def _tailored(spark: SparkSession, folder: str, resumes: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Prompts and the résumés put together, for all opportunities."""
     jobs = S.opportunities(spark, folder, gaps=False).select(F.col("doc_pos").alias("job_id"), "job_description")
-    prompts = resume.prompt_rows(one, jobs)
-    whole = resume.assemble(one, prompts, _responses(prompts))
-    sizes = whole.select("job_id", F.md5(F.col("resume").cast("binary")).alias("resume_digest"))
-    rows = prompts.join(sizes, "job_id")
-    return rows.select("job_id", "section", big("ord").alias("ord"), F.md5(F.col("prompt").cast("binary")).alias("digest"), "resume_digest")
+    prompts = resume.prompt_rows(resumes, jobs, pairs)
+    whole = resume.assemble(resumes, prompts, _responses(prompts))
+    sizes = whole.select("resume_id", "job_id", F.md5(F.col("resume").cast("binary")).alias("resume_digest"))
+    rows = prompts.join(sizes, ["resume_id", "job_id"])
+    return rows.select("resume_id", "job_id", "section", big("ord").alias("ord"), F.md5(F.col("prompt").cast("binary")).alias("digest"), "resume_digest")
+
+
+@query
+def resume_every_job(spark, folder):
+    """One résumé with the shipped sections, made of all conversations, tailored to every description."""
+    turns = S.table(spark, folder, "conversations")
+    one = turns.agg(_shipped_resume(turns, F.lit("conv 0"))).select(F.lit("conv").alias("resume_id"), "body")
+    return _tailored(spark, folder, one).drop("resume_id")
+
+
+@query
+def resume_pairs(spark, folder):
+    """A résumé of each conversation, and every opportunity tailored for one of them: a table of résumés meets a table of jobs."""
+    turns = S.table(spark, folder, "conversations")
+    docs = turns.groupBy(F.col("conv_id").alias("resume_id")).agg(_shipped_resume(turns, F.concat(F.lit("conv "), F.col("conv_id").cast("string"))))
+    last = turns.agg(F.max("conv_id")).scalar()
+    pairs = S.opportunities(spark, folder, gaps=False).select((F.col("doc_pos") % (last + 1)).alias("resume_id"), F.col("doc_pos").alias("job_id"))
+    return _tailored(spark, folder, docs, pairs)
 
 
 @query

@@ -210,3 +210,17 @@ def test_section_status(spark):
     }
     assert [r.section for r in resume.failed_sections(new).collect()] == ["b"]
     assert tuple(resume.build_succeeded(new).first()) == (1, False)
+
+
+def test_nested_parts_hold_what_whole_records_hold(spark):
+    clusters = spark.createDataFrame([(1, 5, ["s"], 0), (2, 1, [], 7), (3, 0, [], None)], "cluster_id long, total_opportunities long, keyword_sentences array<string>, first_doc long")
+    keywords = spark.createDataFrame([(1, r, f"t{r}") for r in range(1, 8)] + [(2, 1, "u")], "cluster_id long, rank long, term string")
+    members = spark.createDataFrame([(1, i, (str(i),)) for i in range(5)] + [(2, 7, ("7",))], "cluster_id long, doc_pos long, opportunity struct<id:string>")
+    whole = {r.cluster_id: r for r in summary.nested_records(clusters, keywords, members).collect()}
+    parts = sorted(summary.nested_parts(clusters, keywords, members, 3).collect(), key=lambda r: (r.cluster_id, r.part))
+    assert [(r.cluster_id, r.part, len(r.keywords), len(r.opportunities)) for r in parts] == [(1, 0, 3, 3), (1, 1, 3, 2), (1, 2, 1, 0), (2, 0, 1, 1), (3, 0, 0, 0)]
+    for c, record in whole.items():
+        own = [r for r in parts if r.cluster_id == c]
+        assert sum((r.keywords for r in own), []) == record.keywords
+        assert sum((r.opportunities for r in own), []) == (record.opportunities or [])
+        assert sum((r.keyword_sentences for r in own), []) == record.keyword_sentences
