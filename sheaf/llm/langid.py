@@ -9,6 +9,7 @@ so that single odd words do not break a span while longer passages in another la
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -48,7 +49,19 @@ SCRIPTS = {
     "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)],
 }
 
-WORD = re.compile(r"[^\W\d_]+")
+# Signs that \w takes besides letters and digits, such as fractions, raised digits and numerals of their own.
+_SIGNS = re.compile("[" + "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _letters(text: str) -> str:
+    """The text with a blank for each such sign, so that places stay."""
+    return text if text.isascii() else _SIGNS.sub(" ", text)
+
+
+def words_of(text: str) -> list[str]:
+    """Lower-case runs of letters."""
+    return _WORD.findall(_letters(text.lower()))
 
 
 @lru_cache(maxsize=1 << 16)
@@ -125,7 +138,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
 
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held[name].update(WORD.findall(content.lower()))
+                held[name].update(words_of(content))
                 if sum(map(len, held.values())) > 100_000:
                     yield flush()
         yield flush()
@@ -154,6 +167,7 @@ class Labeller:
     def __init__(self, model: Model):
         self.model = model
         self.ids: dict[str, int] = {}
+        self.blank: set[str] = set()  # words that speak for no language
         self.table = np.zeros((1024, len(model.langs)), dtype=np.float32)
 
     def _ids(self, words: list[str]) -> np.ndarray:
@@ -166,7 +180,8 @@ class Labeller:
             self.ids.update(zip(new, range(base, base + len(new)), strict=True))
             while base + len(new) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[base : base + len(new)] = self.model.words(new)
+            scores = self.table[base : base + len(new)] = self.model.words(new)
+            self.blank.update(new[i] for i in np.flatnonzero(~scores.any(axis=1)))
             for i in missing:
                 found[i] = get(words[i])
         return np.array(found, dtype=np.int64)
@@ -186,7 +201,8 @@ class Labeller:
         """Words and best language path of each text. Viterbi takes all texts that may switch side by side."""
         if len(self.ids) > _MEMORY:
             self.ids.clear()
-        words = [WORD.findall(t.lower()) for t in texts]
+            self.blank.clear()
+        words = [words_of(t) for t in texts]
         out: list = [(w, np.zeros(len(w), np.int16)) for w in words]
         if not self.model.langs:
             return out
@@ -233,21 +249,28 @@ class Labeller:
         return out
 
     def label(self, text: str, words: list[str], path: np.ndarray) -> dict:
-        """Summary of one text: the language with most letters, its share of them, and the spans."""
+        """Summary of one text: the language with most letters, its share of them, and the spans.
+
+        Letters of words that speak for no language count for all of them alike.
+        """
         if not words or not self.model.langs:
             return {"lang": UNKNOWN, "score": 0.0, "spans": []}
+        n, k = sum(map(len, words)), len(self.model.langs)
+        blank = [w in self.blank for w in words] if self.blank else []
+        lost = sum(len(w) for w, b in zip(words, blank) if b)
         if (path == path[0]).all():
-            return {"lang": self.model.langs[int(path[0])], "score": 1.0, "spans": []}
+            return {"lang": self.model.langs[int(path[0])], "score": (n - lost + lost / k) / n if lost else 1.0, "spans": []}
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        letters = np.bincount(path, weights=sizes, minlength=len(self.model.langs))
+        spoken = np.where(blank, 0, sizes) if lost else sizes
+        letters = np.bincount(path, weights=spoken, minlength=k) + lost / k
         top = int(letters.argmax())
         spans = []
-        places = [m.span() for m in WORD.finditer(text)]
+        places = [m.span() for m in _WORD.finditer(_letters(text))]
         if len(places) == len(words):  # lower-casing can split a word in rare scripts; then no places are given
             ends = [*(np.flatnonzero(np.diff(path)) + 1).tolist(), len(words)]
             for a, b in zip([0, *ends[:-1]], ends, strict=True):
                 spans.append({"start": places[a][0], "end": places[b - 1][1], "lang": self.model.langs[int(path[a])]})
-        return {"lang": self.model.langs[top], "score": float(letters[top] / sizes.sum()), "spans": spans}
+        return {"lang": self.model.langs[top], "score": float(letters[top] / n), "spans": spans}
 
 
 LABEL = "struct<lang:string,score:double,spans:array<struct<start:int,end:int,lang:string>>>"
@@ -258,7 +281,8 @@ def label(spark, model: Model, text: Column) -> Column:
     """A struct ``(lang, score, spans)`` for each text, by ``model`` (shipped once per executor).
 
     ``lang`` is the language that holds most letters of the best path, ``und`` for a null text, one without letters
-    and a model without languages; ``score`` the part of all letters it holds (0 for ``und``). ``spans`` (code points, end
+    and a model without languages; ``score`` the part of all letters it holds (0 for ``und``), where words in a script of no language of the model
+    go to all of its k languages in equal parts: a text of such words alone scores 1/k. ``spans`` (code points, end
     exclusive) are given where the text mixes languages. Equal scores go to the alphabetically first language. Texts
     are read whole, whatever their length.
     """

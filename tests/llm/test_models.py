@@ -36,7 +36,24 @@ def test_language_spans(spark, docs, language):
     assert abs(got[0].spans[1].start - 601) < 30
     assert all((got[i].lang, got[i].score) == ("und", 0.0) for i in (1, 2, 3))
     assert got[4].lang == "en" and got[4].score == 1.0
-    assert got[5].lang in language.langs  # a script of no language leaves all equal
+    assert got[5].lang in language.langs and got[5].score == pytest.approx(1 / len(language.langs))  # a script of no language leaves all equal
+
+
+def test_signs_that_are_no_letters(spark, language):
+    rows = [("\u00bd \u00b2 \u2460 \u2167",), ("the \u00bdof\u00b2 and",), ("the of and " + "\u043c" * 90,)]
+    got = [r.l for r in spark.createDataFrame(rows, "text string").coalesce(1).select(langid.label(spark, language, F.col("text")).alias("l")).collect()]
+    assert (got[0].lang, got[0].score) == ("und", 0.0)
+    assert langid.words_of(rows[1][0]) == ["the", "of", "and"]
+    assert got[2].score < 0.5
+
+
+def test_labels_do_not_hang_on_other_rows(spark, docs, language):
+    """Repeated rows, extra columns with names of the result, and any cut into batches give the same labels."""
+    rows = docs.where("doc_id < 40").select("doc_id", "text").withColumns({"lang": F.lit("x"), "score": F.lit(2), "spans": F.lit(None)})
+    label = langid.label(spark, language, F.col("text")).alias("l")
+    once = {r.doc_id: r.l for r in rows.select("doc_id", label).collect()}
+    twice = rows.union(rows).repartition(7).select("*", label).collect()
+    assert len(twice) == 80 and all(r.l == once[r.doc_id] and r.lang == "x" for r in twice)
 
 
 def test_viterbi_matches_plain_search():
