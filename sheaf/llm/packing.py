@@ -31,6 +31,7 @@ TIERS = (256, 512, 1024, 2048)
 POOL = 512  # left-over pieces that a tier keeps before it packs them
 STEP_GROUPS = 8  # groups that a block of closed windows is dealt to
 STEP_WINDOWS = 64  # closed windows per block
+SPECIAL = {"<|endoftext|>": 50256}  # fixed values: the special tokens of the vocabulary
 END_OF_TEXT = 1  # fixed value: the id behind each document
 _WORDS = 400_000  # chunks whose ids a worker remembers
 _WIDE_GAP = re.compile(r" (?:\s|\Z)")
@@ -44,10 +45,10 @@ class Encoder(dict):
 
     The byte-level pattern never lets a piece run across a single space that stands before a
     non-space character, so such chunks can be encoded one by one and joined. Texts with other
-    spacing are encoded whole.
+    spacing, and those that hold the name of a special token, are encoded whole.
     """
 
-    def __init__(self, ranks_name: str):
+    def __init__(self, ranks_name: str, special: dict[str, int]):
         import base64
 
         import public_tokenizers
@@ -55,7 +56,8 @@ class Encoder(dict):
 
         with open(public_tokenizers.path(ranks_name), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.model = tiktoken.Encoding("pack", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.model = tiktoken.Encoding("pack", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
 
     def plain(self, text: str) -> bytes:
         return np.asarray(self.model.encode_ordinary(text), dtype=_ID).tobytes()
@@ -69,6 +71,8 @@ class Encoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
+        if self.special.search(text):
+            return np.asarray(self.model.encode(text, allowed_special="all"), dtype=_ID).tobytes()
         if _WIDE_GAP.search(text):
             return self.plain(text)
         first, *rest = text.split(" ")
@@ -80,7 +84,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def encoder(ranks_name: str) -> Encoder:
     if ranks_name not in _ENCODERS:
-        _ENCODERS[ranks_name] = Encoder(ranks_name)
+        _ENCODERS[ranks_name] = Encoder(ranks_name, SPECIAL)
     return _ENCODERS[ranks_name]
 
 
@@ -88,7 +92,7 @@ def encoder(ranks_name: str) -> Encoder:
 class Piece:
     doc_id: int | None
     start: int
-    ids: bytes
+    ids: bytes | memoryview  # a view, so that cutting copies nothing
     doc_tokens: int
 
     def __len__(self) -> int:
@@ -116,11 +120,12 @@ class Packer:
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         longest = self.tiers[-1]
-        rest = Piece(doc_id, 0, ids, len(ids) // 4)
+        rest = Piece(doc_id, 0, memoryview(ids), len(ids) // 4)
         while len(rest) >= longest:
             full, rest = rest.cut(longest)
             self.closed.append((longest, [full]))
         if len(rest):
+            rest.ids = bytes(rest.ids)  # what waits holds no whole document
             self.route(rest)
 
     def route(self, piece: Piece) -> None:
@@ -213,6 +218,7 @@ def pack(
     a split becomes windows at smaller powers of two, so nothing is padded. ``ranks`` names the vocabulary, in the
     tokenizers' package.
 
+    The name of a special token in a text is that token, as the tokenizer's own call has it.
     A null or empty text is a document of one id, the closing one. A null ``doc_id`` is kept as null. Repeated rows
     are packed each for itself. Other columns are not looked at. An empty table gives no rows.
     """
@@ -234,7 +240,7 @@ def pack(
                 for (size, pieces), group in zip(windows, step_groups(windows, groups), strict=True):
                     offset = 0
                     for p in pieces:
-                        ids = p.ids if with_ids else None
+                        ids = bytes(p.ids) if with_ids else None
                         out.append((p.doc_id, p.start, len(p), zlib.crc32(p.ids), p.doc_tokens, base + number, offset, size, base + block * groups + group, ids))
                         offset += len(p)
                     number += 1

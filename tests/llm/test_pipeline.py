@@ -1,5 +1,6 @@
 """Packing round trips and the pipeline."""
 
+import time
 import zlib
 
 import numpy as np
@@ -17,9 +18,7 @@ def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def ids_of(tokenizer, text):
@@ -52,7 +51,7 @@ def test_round_trip(spark, tokenizer):
     assert got == {r.doc_id: ids_of(tokenizer, r.text) for r in docs.collect()}
 
 
-@pytest.mark.parametrize("text", ["a  b", " a", "a ", "a\n b", "a \nb", "\n\n a\t b", "x  y", "a\x1c b", "don't I'll", "3.14 km², ½", "日本 語", "<|endoftext|> x", "a" * 9000, " ", "\n"])
+@pytest.mark.parametrize("text", ["a  b", " a", "a ", "a\n b", "a \nb", "\n\n a\t b", "x  y", "a\x1c b", "don't I'll", "3.14 km², ½", "日本 語", "<|endoftext|> x", "a<|endoftext|><|endoftext|>  b <|endoftext", "a" * 9000, " ", "\n"])
 def test_encoder_equals_the_tokenizer(tokenizer, text):
     got = packing.encoder("byte_bpe_50k.tiktoken").encode(text)
     assert [*np.frombuffer(got, "<u4"), 1] == ids_of(tokenizer, text)
@@ -68,6 +67,19 @@ def test_packing_edges(spark, tokenizer):
         packing.pack(df, tiers=(100, 2048))
 
 
+def test_special_tokens_are_those_of_the_vocabulary(tokenizer):
+    assert packing.SPECIAL == {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+
+
+def test_a_very_long_document_is_cut_without_copying_its_rest():
+    packer = packing.Packer()
+    start = time.perf_counter()
+    packer.add(1, bytes(4 * (16_000_000 + 5)))
+    assert time.perf_counter() - start < 5 and len(packer.closed) == 16_000_005 // 2048
+    assert sum(len(w) for ws in packer.waiting for w in ws) + 2048 * len(packer.closed) == 16_000_005
+    assert all(isinstance(w.ids, bytes) for ws in packer.waiting for w in ws)
+
+
 def test_tiers_and_groups():
     packer = packing.Packer(pool=16)
     rng = np.random.default_rng(0)
