@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.llm.components import connected, local_forest
@@ -53,16 +53,20 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)`` for every row; ``fp`` holds the 64 bits as a signed number."""
+    """``(doc_id, text_hash, fp)`` for every row; ``fp`` holds the 64 bits as a signed number."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return plain.mapInArrow(run, "doc_id long, fp long")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), _text_hash().alias("text_hash"))
+    return plain.mapInArrow(run, "doc_id long, text_hash long, fp long")
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def trie_pairs(left: np.ndarray, right: np.ndarray, depth: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -228,6 +232,19 @@ def _opened(rows: DataFrame, budget: int, node_rows: int) -> DataFrame:
     return out
 
 
+def classes(docs: DataFrame, shingle: int = SHINGLE, budget: int = MAX_BITS, node_rows: int = NODE_ROWS) -> DataFrame:
+    """``(doc_id, text_hash, fp, root, component_id)`` for every row of ``docs (doc_id, text)``: ``near_duplicates`` with the
+    fingerprint as a number, and the fingerprint ``root`` that names the row's group, whatever its ids."""
+    marked = materialise(fingerprints(docs, shingle), "fingerprints")
+    prints = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-prints")
+    roots = connected(trie_links(prints.select("fp"), budget, node_rows))
+    found = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    found = materialise(found, "print-classes")
+    least = found.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = found.join(least, "root").select("fp", "root", "component_id")
+    return marked.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = MAX_BITS, node_rows: int = NODE_ROWS) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs (doc_id, text)``.
 
@@ -239,24 +256,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = MAX_B
     fingerprint and the component of its group (null where no row of the group has an id). Repeated rows are returned
     each. Other columns are not looked at. An empty table gives no rows.
     """
-    marked = materialise(fingerprints(docs, shingle), "fingerprints")
-    prints = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-prints")
-    roots = connected(trie_links(prints.select("fp"), budget, node_rows))
-    classes = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    classes = materialise(classes, "print-classes")
-    least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = classes.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = classes(docs, shingle, budget, node_rows)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component in ``classes``, with all their columns.
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each group of ``found``, the ``classes`` of the same rows, with all its columns.
 
-    Of several rows with that id one stays. Rows without an id stay if the component of any of them has no id at all.
+    The row with the smallest doc_id stays, one without an id only if the group has no other; of rows that share that id and differ
+    in text, the one whose text has the smallest hash; of rows alike in both, any with the smallest hash of all columns. Rows that share an id
+    and lie in different groups stay, one for each group. Copies are cut down where they lie, before rows are shuffled.
     """
-    first = classes.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    met = docs.join(first, docs["doc_id"] == first["__id"])
-    # the join has brought rows of one id together, in order: numbering them moves nothing
-    one = met.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where("__n = 1").select(*docs.columns)
-    alone = classes.where("doc_id IS NULL AND component_id IS NULL").select("fingerprint").distinct().count()
-    return one.union(docs.where("doc_id IS NULL")) if alone else one
+    none = F.col("doc_id").isNull().alias("__none")
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id")
+    keys = ["__none", "__id", "__text"]
+    first = found.select("root", none, number, F.col("text_hash").alias("__text")).groupBy("root").agg(F.min(F.struct(*keys)).alias("k"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*docs.columns)))
+    rows = docs.select("*", none, number, _text_hash().alias("__text"))
+    one = rows.withColumn("__n", place).where("__n = 1")
+    return one.join(first.select("k.*"), keys, "left_semi").select(*docs.columns)

@@ -66,11 +66,21 @@ def test_near_duplicates_edges(spark):
     out = simhash.near_duplicates(df)
     got = sorted(((r.doc_id, r.component_id) for r in out.collect()), key=str)
     assert got == sorted([(None, None), (None, 3), (3, 3), (5, 3), (7, 7), (7, 7), (8, 8), (9, 8)], key=str)
-    kept = simhash.keep_first(df, out)
-    assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == [3, 7, 8] and kept.columns == df.columns
+    kept = simhash.keep_first(df, simhash.classes(df))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, "A b C d"), (7, "x y z w"), (8, ""), (None, "only here without id")], key=str)
+    assert kept.columns == df.columns
     assert simhash.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    near = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, near), (1, "quite another text of its own"), (1, "and a third one that nobody repeats"), (2, "quite another text of its own"), (None, near), (None, "alone"), (None, "alone"), (4, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"__x": F.lit(1), "root": F.lit("r"), "k": F.lit(None).cast("string"), "text_hash": F.lit(0)})
+    got = sorted(((r.doc_id, r.text or "") for r in simhash.keep_first(df, simhash.classes(df)).collect()), key=str)
+    assert got == sorted([(1, near), (1, "quite another text of its own"), (1, "and a third one that nobody repeats"), (None, "alone"), (4, "")], key=str)
+    assert simhash.keep_first(df.limit(0), simhash.classes(df.limit(0))).collect() == []
+
+
 def test_connected(spark):
     rng = np.random.default_rng(1)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (250, 2))] + [(i, i + 1) for i in range(300, 380)]  # and a long chain
