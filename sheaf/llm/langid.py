@@ -54,14 +54,11 @@ _SIGNS = re.compile("[" + "".join(c for c in map(chr, range(0x80, sys.maxunicode
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _letters(text: str) -> str:
-    """The text with a blank for each such sign, so that places stay."""
-    return text if text.isascii() else _SIGNS.sub(" ", text)
-
-
 def words_of(text: str) -> list[str]:
     """Lower-case runs of letters."""
-    return _WORD.findall(_letters(text.lower()))
+    low = text.lower()
+    found = _WORD.findall(low)
+    return found if "".join(found).isalpha() else _WORD.findall(_SIGNS.sub(" ", low))
 
 
 @lru_cache(maxsize=1 << 16)
@@ -255,17 +252,24 @@ class Labeller:
         """
         if not words or not self.model.langs:
             return {"lang": UNKNOWN, "score": 0.0, "spans": []}
-        n, k = sum(map(len, words)), len(self.model.langs)
-        blank = [w in self.blank for w in words] if self.blank else []
-        lost = sum(len(w) for w, b in zip(words, blank) if b)
-        if (path == path[0]).all():
-            return {"lang": self.model.langs[int(path[0])], "score": (n - lost + lost / k) / n if lost else 1.0, "spans": []}
+        single = (path == path[0]).all()
+        clear = self.blank.isdisjoint(words)
+        if single and clear:
+            return {"lang": self.model.langs[int(path[0])], "score": 1.0, "spans": []}
+        k = len(self.model.langs)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        spoken = np.where(blank, 0, sizes) if lost else sizes
+        spoken = sizes if clear else np.where([w in self.blank for w in words], 0, sizes)
+        n = int(sizes.sum())
+        lost = n - int(spoken.sum())
+        if single:
+            return {"lang": self.model.langs[int(path[0])], "score": (n - lost + lost / k) / n, "spans": []}
         letters = np.bincount(path, weights=spoken, minlength=k) + lost / k
         top = int(letters.argmax())
         spans = []
-        places = [m.span() for m in _WORD.finditer(_letters(text))]
+        found = list(_WORD.finditer(text))
+        if not "".join(m.group() for m in found).isalpha():
+            found = list(_WORD.finditer(_SIGNS.sub(" ", text)))
+        places = [m.span() for m in found]
         if len(places) == len(words):  # lower-casing can split a word in rare scripts; then no places are given
             ends = [*(np.flatnonzero(np.diff(path)) + 1).tolist(), len(words)]
             for a, b in zip([0, *ends[:-1]], ends, strict=True):
