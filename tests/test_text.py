@@ -175,3 +175,33 @@ def test_phrases_of_a_table_are_dropped_like_those_of_a_list(spark):
     assert all(r.keywords == lists[r.doc_pos] for r in got)
     assert prepare.drop_phrase_table(rows, terms.where("term = 'none'")).count() == sum(bool(t) for t in lists)
     assert prepare.drop_phrase_table(rows.limit(0), terms).count() == 0
+
+
+def test_ngrams_are_counted_in_slices(spark, monkeypatch):
+    """Documents of any length, given twice, without a number or with null words come out as one count each, slice by slice."""
+    import pyarrow as pa
+
+    from sheaf.operators import grams as G
+
+    words = [f"w{chr(97 + i % 7)}{chr(97 + i % 5)}" for i in range(400)]
+    rows = [(d, words[d : d + 3 + d % 40]) for d in range(60)] + [(3, words[3:9]), (None, words[:4]), (None, words[:4]), (61, []), (62, None)]
+    table = spark.createDataFrame(rows, "doc_pos bigint, tokens array<string>")
+    batches = [pa.RecordBatch.from_pylist([{"doc_pos": d, "tokens": t} for d, t in sorted(rows[:60])])]
+    parts = list(G.slices(iter(batches), ["doc_pos"], "tokens", 100))
+    assert len(parts) > 5 and sum(map(len, parts)) == 60
+    plain = {}
+    for d, t in rows:
+        for n in (1, 2, 3):
+            for i in range(len(t or []) - n + 1):
+                key = d, " ".join(t[i : i + n]), n
+                tf, at = plain.get(key, (0, i))
+                plain[key] = tf + 1, min(at, i)
+    assert {(r.doc_pos, r.term, r.n): (r.tf, r.i) for r in prepare.doc_terms(table).collect()} == plain
+
+
+def test_lexicon_takes_rows_given_twice(spark):
+    """Words that the lexicon has twice or not at all, rows with the same key: all of them count, in the order of their places."""
+    lexicon = spark.createDataFrame([("goes", "go", False), ("goes", "going", True), ("engines", "engine", True)], "token string, lemma string, is_noun boolean")
+    rows = spark.createDataFrame([(1, ["goes", "engines", "x"]), (1, ["engines"]), (None, ["plain"]), (2, ["goes"]), (3, [])], "doc_pos bigint, words array<string>")
+    found = {r.doc_pos: (r.tokens, r.keywords) for r in prepare.lemmas(rows, ["doc_pos"], lexicon.where("lemma <> 'go' OR NOT is_noun")).collect()}
+    assert found == {1: (["engine", "going", "engine"], ["engine", "going", "engine"]), None: (["plain"], ["plain"]), 2: (["going"], ["going"])}
