@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.functions.ranking import numbered
+from sheaf.functions.ranking import numbered_plainly
 from sheaf.session import materialise
 
 BUCKET_DAYS = 30
@@ -47,7 +47,7 @@ def intervals(entries: DataFrame) -> DataFrame:
     sound = entries.where(F.col("pattern").isNotNull() & F.col("listed_at").isNotNull() & F.col("action").isin(*ACTIONS))
     log = sound.select(F.coalesce("list", F.lit("")).alias("list"), pattern.alias("pattern"), "listed_at", F.expr(severity).alias("act"))
     log = log.groupBy("list", "pattern", "listed_at").agg(F.max("act").alias("act"))
-    log = materialise(numbered(log, ["list", "pattern"], [F.col("listed_at")], "n"), "url-log")
+    log = materialise(numbered_plainly(log, ["list", "pattern"], [F.col("listed_at")], "n"), "url-log")
     after = log.select("list", "pattern", (F.col("n") - 1).alias("n"), F.col("listed_at").alias("until"))
     held = log.join(after, ["list", "pattern", "n"], "left").where("act > 0")
     return held.select("list", "pattern", F.when(F.col("act") == 2, "block").otherwise("allow").alias("action"), F.col("listed_at").alias("since"), "until")

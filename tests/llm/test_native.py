@@ -64,6 +64,21 @@ def test_url_filter_capitals(spark):
     assert {r.pattern for r in out if r.blocked} == {"h.org/Private", "whole.com"}
 
 
+def test_url_filter_runs_no_python(spark, monkeypatch):
+    """DataFrame operations only, the numbering of the changes of a pattern among them."""
+
+    def refused(*_args, **_kwargs):
+        raise AssertionError("Python on the executors")
+
+    captures = spark.createDataFrame([(i, "http://a.org/x", day(i)) for i in range(40)], "page_id long, url string, fetched_at timestamp")
+    entries = spark.createDataFrame([("l", "a.org", ("block", "remove")[i % 2], day(3 * i)) for i in range(12)], "list string, pattern string, action string, listed_at timestamp")
+    captures, entries = captures.cache(), entries.cache()
+    for step in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(captures), step, refused)
+    out = {r.page_id: r.blocked for r in urlfilter.filter_captures(captures, entries).collect()}
+    assert out == {i: min(i // 3, 11) % 2 == 0 for i in range(40)}
+
+
 @pytest.mark.parametrize("empty", ["captures", "entries"])
 def test_url_filter_empty(spark, empty):
     captures = spark.createDataFrame([(1, "http://a.com", day(0))], "page_id long, url string, fetched_at timestamp")
