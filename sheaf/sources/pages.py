@@ -6,9 +6,10 @@ Everything after them is column expressions.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from sheaf.functions.html import compile_selector
 from sheaf.functions.joins import join_counted
 from sheaf.session import materialise, ship_package, spread
 
+SCAN_PAGES = 64  # pages read at a time
+
 _CARDS = "page_id bigint, pos int, key string, texts array<string>, spans array<string>, html_length int"
 
 # What a layout names, and what stands in where a domain leaves it out.
@@ -148,16 +151,25 @@ def selector_texts(pages: DataFrame, selectors: Sequence[str]) -> DataFrame:
     for selector in wanted:
         compile_selector(selector)
 
-    def scan(batches):
-        from sheaf.functions import html as H
+    ship_package(pages.sparkSession)
+    typed = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
+    return spread(typed, "page_id").mapInArrow(_first_texts(wanted), "page_id bigint, url string, found array<string>")
 
-        for pdf in batches:
-            found = []
-            for source in pdf["html"]:
-                root = H.parse(source)
-                hits = (next(H.select(root, s), None) for s in wanted)
-                found.append([None if e is None else H.visible_text(e) for e in hits])
-            yield pdf[["page_id", "url"]].assign(found=found)
 
-    ship_package(pages.sparkSession)
-    return spread(pages.select("page_id", "url", "html"), "page_id").mapInPandas(scan, "page_id bigint, url string, found array<string>")
+def _first_texts(wanted: Sequence[str]):
+    """Reader of batches ``(page_id, url, html)``. Only SCAN_PAGES pages at a time become Python values, however many a batch holds."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from sheaf.functions import html as H
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SCAN_PAGES):
+                part = batch.slice(lo, SCAN_PAGES)
+                found = []
+                for source in part.column(2):
+                    root = H.parse(source.as_py())
+                    hits = (next(H.select(root, s), None) for s in wanted)
+                    found.append([None if e is None else H.visible_text(e) for e in hits])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.string()))], names=["page_id", "url", "found"])
+
+    return scan

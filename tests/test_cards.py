@@ -1,11 +1,13 @@
 import datetime as dt
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sheaf.functions import cards as C
 from sheaf.functions import html as H
 from sheaf.operators import cards
+from sheaf.sources import pages
 from sheaf.sources.pages import layout_cards, layout_faults, layouts, raw_cards, selector_texts
 
 NOW = "2030-01-01 00:00:00"
@@ -155,6 +157,22 @@ def test_selector_texts(spark):
         selector_texts(pages, [])
 
 
+def test_pages_of_a_batch_are_read_some_at_a_time(monkeypatch):
+    """A batch of many pages is not held as Python values, nor are its texts."""
+    read, parse = [], H.parse
+    monkeypatch.setattr(H, "parse", lambda source: (read.append(1), parse(source))[1])
+    n = 3 * pages.SCAN_PAGES + 1
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(n)), "url": [None] * n, "html": [None, *(f"<main>{i}</main>" for i in range(1, n))]})
+    sizes, texts = [], []
+    for part in pages._first_texts(["main", "b"])(iter([batch])):
+        sizes.append(part.num_rows)
+        assert len(read) == sum(sizes)
+        texts += part.column(2).to_pylist()
+    assert sizes == [pages.SCAN_PAGES] * 3 + [1]
+    assert texts == [[None, None], *([str(i), None] for i in range(1, n))]
+
+
+
 def test_each_page_meets_its_own_layout(spark):
     conf = spark.createDataFrame(
         [
