@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sheaf.operators import report, resume, summary
 from sheaf.plans import pipeline
+from sheaf.plans.queries import QUERIES
 from sheaf.sources import clusters as saved
 from sheaf.sources import config
 
@@ -190,6 +191,26 @@ def test_prompts_and_assembly(spark):
     assert "RESUME TEXT:\nJane Doe" in resume.header_prompts(df).first().prompt
 
 
+def test_prompts_are_built_once(spark, tmp_path, monkeypatch):
+    """Prompts hold a description several times over; assembly and digests read them where they were written."""
+    turns = [(c, t, "user", f"text {c} {t}") for c in range(2) for t in range(8)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    docs = [(i, f"a description {i}", "en", "source-1", 13) for i in range(3)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    given, assemble = [], resume.assemble
+
+    def seen(resumes, prompts, responses, *more):
+        given.extend([*prompts.inputFiles(), *responses.inputFiles()])
+        return assemble(resumes, prompts, responses, *more)
+
+    monkeypatch.setattr(resume, "assemble", seen)
+    for name in ("resume_every_job", "resume_pairs"):
+        out = QUERIES[name](spark, str(tmp_path)).collect()
+        assert sorted({r.job_id for r in out}) == [0, 1, 2] and len(out) == 12
+    assert given and all("/prompts-" in f for f in given)
+
+
 def test_section_status(spark):
     rows = [
         ("a", "Completed", "2024-01-05 01:00:00", "2024-01-05 23:00:00"),
