@@ -151,6 +151,18 @@ def test_config_sources(spark, tmp_path):
     assert config.resumes(spark, str(tmp_path / "cv.md")).first().body.startswith("Me\n")
 
 
+def test_files_are_written_by_many_tasks(spark, tmp_path):
+    """A few bytes each, but a file each: they are dealt out, and names of folders are not taken for values."""
+    rows = spark.range(40).select(F.concat(F.lit("r-"), "id").alias("resume_id"), F.concat(F.lit("body "), "id").alias("body")).groupBy("resume_id").agg(F.max("body").alias("body"))
+    path = tmp_path / "cv"
+    config.save_texts(rows, str(path), "resume_id")
+    files = [f for f in path.rglob("*.txt") if f.name.startswith("part-")]
+    assert len(files) == 40 and len({f.name.split("-")[1] for f in files}) > 4
+    found = config.resumes(spark, str(path))
+    assert {(r.resume_id.split("resume_id=")[1].split("/")[0], r.body) for r in found.collect()} == {(f"r-{i}", f"body {i}\n") for i in range(40)}
+    assert found.columns == ["resume_id", "body", "source_modified"]
+
+
 RESUME = "Jane Doe\njane@x\n\n# Resume Summary\nGood.\n\n# CAREER HIGHLIGHTS\n- did\n# CORE COMPETENCIES\nSQL\n# WORK EXPERIENCE\nX Inc\n# EDUCATION\nMIT\n"
 
 
