@@ -205,3 +205,12 @@ def test_lexicon_takes_rows_given_twice(spark):
     rows = spark.createDataFrame([(1, ["goes", "engines", "x"]), (1, ["engines"]), (None, ["plain"]), (2, ["goes"]), (3, [])], "doc_pos bigint, words array<string>")
     found = {r.doc_pos: (r.tokens, r.keywords) for r in prepare.lemmas(rows, ["doc_pos"], lexicon.where("lemma <> 'go' OR NOT is_noun")).collect()}
     assert found == {1: (["engine", "going", "engine"], ["engine", "going", "engine"]), None: (["plain"], ["plain"]), 2: (["going"], ["going"])}
+
+
+def test_windows_of_a_block_meet_the_phrases_once(spark):
+    lists = [["aaa", "bbb", "ccc", "ddd"]] * 40 + [["bbb", "ccc"], ["ccc", "bbb", "aaa"]]
+    rows = spark.createDataFrame([(i, t, t) for i, t in enumerate(lists)], "doc_pos bigint, tokens array<string>, keywords array<string>")
+    left = prepare.drop_phrase_table(rows, spark.createDataFrame([("bbb ccc",), ("aaa bbb ccc",)], "term string"))
+    assert {r.doc_pos: r.tokens for r in left.collect()} == {**{i: ["ddd"] for i in range(40)}, 41: ["ccc", "bbb", "aaa"]}
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "FlatMapCoGroupsInArrow" in plan
