@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from sheaf.operators import summary
+from sheaf.operators import summary, tiles
 from sheaf.session import materialise
 
 
@@ -39,3 +39,12 @@ def test_a_cluster_lies_in_few_ranges(spark):
     dealt = summary._by_cluster(rows, "doc_pos").withColumn("part", F.spark_partition_id())
     spots = dealt.groupBy("cluster_id").agg(F.countDistinct("part").alias("n")).agg(F.sum("n")).first()[0]
     assert spots <= 2 * 8  # as many as there are ranges, and one more for each border
+
+
+def test_tiles_copy_no_chunk(spark):
+    rows = [(i, {k: 0.5 for k in range(i % 5, i % 5 + 4)}) for i in range(60)]
+    leaves = spark.createDataFrame(rows, "leaf long, vec map<long,double>")
+    pairs = tiles.similar_pairs(leaves, 0.5, chunk_rows=7)
+    assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if abs(a % 5 - b % 5) <= 2}
+    assert {(r.a, r.b) for r in pairs.collect()} == want
