@@ -1,10 +1,12 @@
 """What jobs leave on disk, and what they send."""
 
 import time
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from sheaf.operators import summary, tiles
+from sheaf.operators import grams, summary, tiles, vectors
 from sheaf.session import materialise
 
 
@@ -48,3 +50,34 @@ def test_tiles_copy_no_chunk(spark):
     assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
     want = {(a, b) for a in range(60) for b in range(a + 1, 60) if abs(a % 5 - b % 5) <= 2}
     assert {(r.a, r.b) for r in pairs.collect()} == want
+
+
+def _leaves(spark):
+    docs = [(i, 1 + i % 3, ["common", f"own{i}", "two" if i < 2 else f"other{i}", "common"]) for i in range(60)]
+    return docs, spark.createDataFrame(docs, "doc_pos bigint, copies bigint, tokens array<string>")
+
+
+def test_only_terms_that_come_again_are_sent(spark, monkeypatch):
+    monkeypatch.setattr(grams, "SLICE_TOKENS", 16)
+    docs, leaves = _leaves(spark)
+    blocked, n_docs = vectors._in_blocks(leaves)
+    packed = vectors._packed(blocked)
+    assert packed.count() > 10
+    marks = sum(int(np.unpackbits(np.frombuffer(r.bits, np.uint8)).sum()) for r in vectors._repeated(packed, 5).collect())
+    assert 2 * 1 < marks <= packed.count() + 4  # "common" once per block, "two" and "common two" once or twice
+    counted = vectors._counted(packed, n_docs, 1.0)
+    assert counted.selectExpr("sum(size(df))").first()[0] <= marks
+
+
+def test_counts_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(grams, "SLICE_TOKENS", 16)
+    monkeypatch.setattr(vectors, "BUCKET_TERMS", 8)
+    docs, leaves = _leaves(spark)
+    df, rows = Counter(), Counter()
+    for _, copies, t in docs:
+        for g in {" ".join(t[i : i + n]) for n in (1, 2, 3) for i in range(len(t) - n + 1)}:
+            df[g] += copies
+            rows[g] += 1
+    found = vectors.shared_terms(*vectors._in_blocks(leaves), 1.0).collect()
+    assert {(r.term, r.df, r.rows) for r in found} == {(g, df[g], n) for g, n in rows.items() if n > 1}
+    assert sum(len(r.slots) for r in found) == sum(n for n in rows.values() if n > 1)
