@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions.text import is_blank, strip
+from sheaf.session import materialise
 
+TURNS = 4  # in which résumés are put together
 STATUSES = ("Not Started", "In Progress", "Completed", "Failed")
 
 
@@ -183,21 +185,68 @@ def assemble(
     Every résumé has the same few sections, so a group never grows with the data.
     """
     asked = prompts.select("prompt_id", "resume_id", "job_id", "ord")
-    answered = asked.join(responses.select("prompt_id", "response"), "prompt_id", "left")
+    names = F.create_map(*[F.lit(x) for i, s in enumerate(sections) for x in (i, s.name)])
+    own = F.concat_ws("/", F.col("resume_id").cast("string"), F.col("job_id").cast("string"), names[F.col("ord")])
+    plain = F.col("job_id").isNotNull() & ~F.col("resume_id").cast("string").contains("/") & (F.col("prompt_id") == own)
+    if any("/" in s.name for s in sections) or not asked.where(~F.coalesce(plain, F.lit(False))).isEmpty():
+        return _assembled_by_prompt(resumes, asked, responses, sections)
+    return _assembled_by_pair(resumes, asked, responses, sections)
+
+
+def _header(sections: tuple[Section, ...], ord_: Column, response: Column) -> Column:
     headers = F.create_map(*[F.lit(x) for i, s in enumerate(sections) if s.header for x in (i, s.header)])
-    tailored = answered.select(
-        "resume_id",
-        "job_id",
-        "ord",
-        F.concat(F.lit("# "), headers[F.col("ord")], F.lit("\n"), F.coalesce("response", F.lit(""))).alias("body"),
-    )
-    fixed_names = [s.name for s in sections if not s.prompt]
-    fixed = section_rows(resumes, sections).where(F.col("section").isin(fixed_names))
-    fixed = asked.select("resume_id", "job_id").distinct().join(fixed, "resume_id")
-    parts = tailored.unionByName(fixed.select("resume_id", "job_id", "ord", "body"))
-    lists = parts.groupBy("resume_id", "job_id").agg(F.sort_array(F.collect_list(F.struct("ord", "body"))).alias("ps"))
-    filled = F.filter(F.transform("ps", lambda p: p["body"]), lambda b: b != "")
-    return lists.select("resume_id", "job_id", F.array_join(filled, "\n\n").alias("resume"))
+    return F.concat(F.lit("# "), headers[ord_], F.lit("\n"), F.coalesce(response, F.lit("")))
+
+
+def _fixed(resumes: DataFrame, asked: DataFrame, sections: tuple[Section, ...]) -> DataFrame:
+    """``(resume_id, job_id, ord, body)`` of the parts that are not tailored."""
+    fixed = section_rows(resumes, sections).where(F.col("section").isin([s.name for s in sections if not s.prompt]))
+    return asked.select("resume_id", "job_id").distinct().join(fixed, "resume_id").select("resume_id", "job_id", "ord", "body")
+
+
+def _joined_parts(parts: Column) -> Column:
+    filled = F.filter(F.transform(F.sort_array(parts), lambda p: p["body"]), lambda b: b != "")
+    return F.array_join(filled, "\n\n").alias("resume")
+
+
+def _assembled_by_pair(resumes: DataFrame, asked: DataFrame, responses: DataFrame, sections: tuple[Section, ...]) -> DataFrame:
+    """``assemble`` for prompts whose ids are those of ``prompt_rows`` and tell résumé and job: a response goes straight to the pair it is for.
+
+    So responses are shuffled once, and TURNS part by part; résumés are written once.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    ask, got, part = "struct<prompt_id:string,resume_id:{0},job_id:{1},ord:int>", "struct<prompt_id:string,response:string>", "struct<ord:int,body:string>"
+    ask = ask.format(*(asked.schema[c].dataType.simpleString() for c in ("resume_id", "job_id")))
+    pair = F.concat_ws("/", F.col("resume_id").cast("string"), F.col("job_id").cast("string"))
+
+    def turn(i: int) -> DataFrame:
+        mine = F.pmod(F.xxhash64("pair"), F.lit(TURNS)) == i
+        some = asked.withColumn("pair", pair).where(mine)
+        rows = some.select("pair", F.struct("prompt_id", "resume_id", "job_id", "ord").cast(ask).alias("ask"), none(got).alias("got"), none(part).alias("part"))
+        said = responses.select(F.regexp_replace("prompt_id", "/[^/]*$", "").alias("pair"), none(ask).alias("ask"), F.struct("prompt_id", "response").cast(got).alias("got"), none(part).alias("part")).where(mine)
+        fixed = _fixed(resumes, some, sections).select(pair.alias("pair"), none(ask).alias("ask"), none(got).alias("got"), F.struct("ord", "body").cast(part).alias("part"))
+        lists = rows.unionByName(said).unionByName(fixed).groupBy("pair").agg(*[F.collect_list(c).alias(c) for c in ("ask", "got", "part")])
+
+        def answered(a: Column) -> Column:
+            texts = F.transform(F.filter("got", lambda g: g["prompt_id"] == a["prompt_id"]), lambda g: g["response"])
+            texts = F.when(F.size(texts) > 0, texts).otherwise(F.array(none("string")))
+            return F.transform(texts, lambda t: F.struct(a["ord"].alias("ord"), _header(sections, a["ord"], t).alias("body")))
+
+        first = F.get("ask", F.lit(0))
+        parts = F.concat(F.flatten(F.transform("ask", answered)), "part")
+        return lists.where(F.size("ask") > 0).select(first["resume_id"].alias("resume_id"), first["job_id"].alias("job_id"), _joined_parts(parts))
+
+    turns = [turn(i) for i in range(TURNS)]
+    return materialise(turns[0], "resumes", *turns[1:])
+
+
+def _assembled_by_prompt(resumes: DataFrame, asked: DataFrame, responses: DataFrame, sections: tuple[Section, ...]) -> DataFrame:
+    """``assemble`` for prompt ids of any kind."""
+    answered = asked.join(responses.select("prompt_id", "response"), "prompt_id", "left")
+    tailored = answered.select("resume_id", "job_id", "ord", _header(sections, F.col("ord"), F.col("response")).alias("body"))
+    parts = tailored.unionByName(_fixed(resumes, asked, sections))
+    lists = parts.groupBy("resume_id", "job_id").agg(F.collect_list(F.struct("ord", "body")).alias("ps"))
+    return lists.select("resume_id", "job_id", _joined_parts(F.col("ps")))
 
 
 def is_current(status: Column, last_updated: Column, source_modified: Column) -> Column:

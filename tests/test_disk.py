@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from sheaf.operators import grams, summary, tiles, vectors
+from sheaf.operators import grams, resume, summary, tiles, vectors
 from sheaf.session import materialise
 
 
@@ -81,3 +81,31 @@ def test_counts_over_many_blocks(spark, monkeypatch):
     found = vectors.shared_terms(*vectors._in_blocks(leaves), 1.0).collect()
     assert {(r.term, r.df, r.rows) for r in found} == {(g, df[g], n) for g, n in rows.items() if n > 1}
     assert sum(len(r.slots) for r in found) == sum(n for n in rows.values() if n > 1)
+
+
+SECTIONS = (resume.Section("header"), resume.Section("user", "USER", "END", "Tailor.", "TEXT"), resume.Section("rest", "REST", None, "Tailor.", "REST"), resume.Section("end", "END"))
+
+
+def _said(spark, ids):
+    docs = spark.createDataFrame([(i, f"me {i}\n# USER\nu{i}\n# END\ne{i}\n# REST\nr{i}") for i in ids], "resume_id string, body string")
+    jobs = spark.createDataFrame([(j, f"job {j}") for j in range(5)], "job_id long, job_description string")
+    pairs = docs.select("resume_id").distinct().crossJoin(jobs.select("job_id"))
+    prompts = materialise(resume.prompt_rows(docs, jobs, pairs, SECTIONS), "prompts")
+    some = prompts.where("NOT (job_id = 3 AND section = 'rest')").select("prompt_id", F.when(F.col("job_id") != 2, F.lower("prompt")).alias("response"))
+    twice = some.unionByName(some.where("job_id = 1")).unionByName(spark.createDataFrame([("x/9/user", "nobody asked")], "prompt_id string, response string"))
+    return docs, prompts, twice
+
+
+def test_responses_go_to_their_pair(spark, monkeypatch):
+    """The same résumés as by a join on the prompt's id, with responses that are missing, null, given twice or not asked for."""
+    for ids, plain in ((["a", "b", "b"], True), (["a", "a/1", "c"], False)):
+        docs, prompts, responses = _said(spark, ids)
+        asked = prompts.select("prompt_id", "resume_id", "job_id", "ord")
+        want = sorted(map(tuple, resume._assembled_by_prompt(docs, asked, responses, SECTIONS).collect()))
+        other = "_assembled_by_prompt" if plain else "_assembled_by_pair"
+        with monkeypatch.context() as m:
+            m.setattr(resume, other, None)
+            got = resume.assemble(docs, prompts, responses, SECTIONS)
+        assert sorted(map(tuple, got.collect())) == want and len(want) == 5 * len(set(ids))
+        if plain:  # put together already, a part after the other
+            assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
