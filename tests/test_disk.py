@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sheaf.operators import grams, resume, summary, tiles, vectors
 from sheaf.session import materialise
+from sheaf.sources import config
 
 
 def _shuffle_files(spark) -> set[str]:
@@ -109,3 +110,17 @@ def test_responses_go_to_their_pair(spark, monkeypatch):
         assert sorted(map(tuple, got.collect())) == want and len(want) == 5 * len(set(ids))
         if plain:  # put together already, a part after the other
             assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    rows = spark.range(40).select(F.concat(F.lit("r"), "id").alias("resume_id"), F.concat(F.lit("body "), "id").alias("body"))
+    config.save_texts(rows, str(tmp_path / "cv"), "resume_id")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # as one file counts at least
+    try:
+        found = config.resumes(spark, str(tmp_path / "cv"))
+        assert found.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert {r.body.strip() for r in found.collect()} == {f"body {i}" for i in range(40)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
